@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import mix, taken
+from .packing import pack_documents
 from .shared import table
 from .url_filter import filter_urls
 
@@ -18,8 +20,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return taken(mix(docs)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs).select("doc_id", "start", "words", "bin", "capacity", "used", "slot", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {
