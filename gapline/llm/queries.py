@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language, toxicity
 from .mixing import mix, taken
 from .packing import pack_documents
-from .shared import table
+from .shared import crc_fold, table
 from .url_filter import filter_urls
 
 #: The url rules of the query: fixed values.
@@ -30,10 +32,29 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs).select("doc_id", "start", "words", "bin", "capacity", "used", "slot", "offset")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_fold(F.col("doc_id"), 5)
+    model = language.train(docs.filter(fold != 0).select("doc_id", "text", "lang"))
+    judged = docs.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")
+    return language.identify(judged, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_fold(F.col("doc_id"), 3)
+    labels = table(spark, sf_dir, "labels").filter(fold != 1)
+    model = toxicity.train(docs, labels.select("doc_id", "toxic"))
+    judged = docs.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "text")
+    return toxicity.score(judged, model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op5_mix_sources": op5_mix_sources,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_language_id": op7_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {
