@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import jaccard, language, toxicity
 from .mixing import mix, taken
 from .packing import pack_documents
+from .preferences import preferences
 from .shared import crc_fold, table
 from .url_filter import filter_urls
 
@@ -40,6 +41,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(judged, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each even conversation is chosen over the odd one after it."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"),
+        F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"),
+        "turn", "role", "text",
+    )
+    flat = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
+    return preferences(turns, "pair_id", "side").select(
+        "pair_id", F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen", "rejected",
+        flat(F.col("chosen_spans")).alias("chosen_spans"), flat(F.col("rejected_spans")).alias("rejected_spans"),
+    )
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.duplicates(docs, size=4, num=85, den=100)
@@ -59,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": op5_mix_sources,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
+    "op8_preference_format": op8_preference_format,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
@@ -81,4 +97,34 @@ ruled AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled""",
+    "op8_preference_format": r"""
+WITH turns AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+common AS (
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id,
+         min(CASE WHEN c.pos IS NULL OR r.pos IS NULL OR c.role <> r.role OR c.text <> r.text
+                  THEN coalesce(c.pos, r.pos) END) AS differs, max(coalesce(c.pos, r.pos)) AS last,
+         count(c.pos) AS n_c, count(r.pos) AS n_r
+  FROM (SELECT * FROM turns WHERE side = 0) c FULL JOIN (SELECT * FROM turns WHERE side = 1) r
+    ON c.pair_id = r.pair_id AND c.pos = r.pos
+  GROUP BY 1 HAVING count(c.pos) > 0 AND count(r.pos) > 0),
+rendered AS (
+  SELECT t.*, coalesce(differs - 1, last) AS n_common, pos <= coalesce(differs - 1, last) AS shared,
+         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown
+  FROM turns t JOIN common USING (pair_id)),
+placed AS (
+  SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY pair_id, side, shared ORDER BY pos
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+  FROM rendered)
+SELECT pair_id, max(n_common)::BIGINT AS n_common,
+       coalesce(string_agg(shown, '' ORDER BY pos) FILTER (side = 0 AND shared), '') AS prompt,
+       coalesce(string_agg(shown, '' ORDER BY pos) FILTER (side = 0 AND NOT shared), '') AS chosen,
+       coalesce(string_agg(shown, '' ORDER BY pos) FILTER (side = 1 AND NOT shared), '') AS rejected,
+       coalesce(string_agg((place + 5 + length(role)) || '-' || (place + length(shown)), ',' ORDER BY pos)
+                FILTER (side = 0 AND NOT shared AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg((place + 5 + length(role)) || '-' || (place + length(shown)), ',' ORDER BY pos)
+                FILTER (side = 1 AND NOT shared AND role = 'assistant'), '') AS rejected_spans
+FROM placed GROUP BY pair_id""",
 }
