@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, toxicity
+from . import jaccard, language, ngram_lm, toxicity
 from .mixing import mix, taken
 from .packing import pack_documents
 from .preferences import preferences
@@ -23,6 +23,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_lm.score(docs, crc_fold(F.col("doc_id"), 7) == 2).withColumnRenamed("id", "doc_id")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return taken(mix(docs)).select("doc_id", "size", "source_size", "target", "taken")
@@ -71,6 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op4_ngram_lm": op4_ngram_lm,
     "op5_mix_sources": op5_mix_sources,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,

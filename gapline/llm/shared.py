@@ -65,7 +65,15 @@ def written(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Writes `df` to the shared folder and reads it again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.option("compression", codec).parquet(path)
+    # the table holds the result: the shuffle files of the write are of no more use
+    cleanup, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+    try:
+        before = spark.conf.get(cleanup)
+        spark.conf.set(cleanup, "true")
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
