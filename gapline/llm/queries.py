@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, ngram_lm, toxicity
+from . import inner_product, jaccard, language, neardup_vectors, ngram_lm, toxicity
 from .mixing import mix, taken
 from .packing import pack_documents
 from .preferences import preferences
@@ -23,6 +23,15 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup_vectors.link(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op3_inner_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_product.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_lm.score(docs, crc_fold(F.col("doc_id"), 7) == 2).withColumnRenamed("id", "doc_id")
@@ -76,6 +85,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_embedding_neardup": op2_embedding_neardup,
+    "op3_inner_product_search": op3_inner_product_search,
     "op4_ngram_lm": op4_ngram_lm,
     "op5_mix_sources": op5_mix_sources,
     "op6_best_fit_packing": op6_best_fit_packing,
