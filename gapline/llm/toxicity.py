@@ -83,11 +83,11 @@ def fit(texts: list[str | None], labels: list[int], bits: int = 22, alpha: float
     examples = []
     bias = 1 << bits
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])
-    for part in slices(batch, "t", 8 << 20) if len(texts) else ():
+    for part in slices(batch, "t", 2 << 20) if len(texts) else ():
         owner, place = features(part.column(0), bits)
         order = np.argsort(owner, kind="stable")
         ends = np.searchsorted(owner[order], np.arange(1, part.num_rows))
-        examples += [np.append(np.unique(p), bias) for p in np.split(place[order], ends)]
+        examples += [np.append(np.unique(p), bias).astype(np.int32) for p in np.split(place[order], ends)]
     turn = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in turn.permutation(len(examples)):
@@ -148,7 +148,7 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     return rows[text].tolist(), rows["_label"].tolist(), kept
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 16000, max_chars: int = 200_000, **options) -> bytes:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 8000, max_chars: int = 200_000, **options) -> bytes:
     """A model from a bounded sample of the labelled rows of `docs`; pass only rows that may teach."""
     texts, known, kept = sample(docs, labels, key, text, label, max_rows, max_chars)
     return fit(texts, known, kept=kept, **options)
