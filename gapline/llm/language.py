@@ -236,5 +236,5 @@ def identify(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     def predicted(texts: pa.Array) -> pa.Array:
         return predict(_network(name), texts)
 
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("lang_pred", "score")]
-    return df.withColumn("_p", predicted(F.col(f"`{text}`").cast("string"))).select(*kept, "_p.lang_pred", "_p.score")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("lang_pred", "score", "_labelled")]
+    return df.select(*kept, predicted(F.col(f"`{text}`").cast("string")).alias("_labelled")).select(*kept, "_labelled.lang_pred", "_labelled.score")

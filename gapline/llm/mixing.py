@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import word_count, written
+from .shared import without, word_count, written
 
 #: Rows of a range, in the mean.
 RANGE_ROWS = 4096
@@ -86,6 +86,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The sizes and targets of the rows of `docs`, and the pieces that the mix takes of them."""
     spark = docs.sparkSession
     max_passes = int(cap)
+    docs = without(docs, {"size", "source_size", "target", "taken", "_source", "_key", "_row", "_range", "_s", "_r"}, key, text, source)
     row = docs.withColumns(
         {
             "size": word_count(F.col(f"`{text}`")),
@@ -173,18 +174,18 @@ def taken(mixed: Mix) -> DataFrame:
 def mixed_documents(docs: DataFrame, columns: list[str], text: str = "text", **options) -> DataFrame:
     """The mix as rows with the given columns of `docs`: for each pass, a row of the words taken of a document, whole
     texts as they are, others with their words joined by blanks."""
-    source = options.get("source", "source")
     # texts are written with row ids once, so that pieces find them again
-    held, _ = written(docs.withColumn("_id", F.monotonically_increasing_id()))
-    m = mix(held.select("_id", *dict.fromkeys([options.get("key", "doc_id"), text, source])), text=text, **options)
-    per = m.pieces.join(m.sizes.select("_row", "_id", "size"), "_row").groupBy("_id", "pass", "size").agg(
-        F.sum("words").alias("_words"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_spans")
-    )
-    spans = F.col("_spans")
+    key, source = options.get("key", "doc_id"), options.get("source", "source")
+    held, _ = written(docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("_mix_")], F.monotonically_increasing_id().alias("_mix_id")))
+    m = mix(held.select("_mix_id", *dict.fromkeys([key, text, source])), text=text, **options)
+    per = m.pieces.join(m.sizes.select("_row", "_mix_id", "size"), "_row").groupBy(F.col("_mix_id").alias("_mix_of"), "pass", F.col("size").alias("_mix_size")).agg(
+        F.sum("words").alias("_mix_words"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_mix_spans")
+    ).drop("pass")
     split = F.split(F.btrim(F.col(f"`{text}`"), F.lit(" \t\n\x0b\x0c\r")), "[\\x20\\x09-\\x0D]+")
-    cut = F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(F.col("_split"), (s["first"] + 1).cast("int"), s["words"].cast("int")))), " ")
-    joined = held.join(per.withColumnRenamed("_id", "_i"), F.col("_id") == F.col("_i"))
-    whole = F.col("_words") == F.col("size")
-    out = joined.withColumn("_split", F.when(~whole, split)).withColumn("_new", F.when(whole, F.col(f"`{text}`")).otherwise(cut))
-    made = {text: F.col("_new")} | ({"n_chars": F.length("_new").cast("long")} if "n_chars" in columns else {})
+    piece = lambda s: F.slice(F.col("_mix_split"), (s["first"] + 1).cast("int"), s["words"].cast("int"))
+    cut = F.array_join(F.flatten(F.transform("_mix_spans", piece)), " ")
+    whole = F.col("_mix_words") == F.col("_mix_size")
+    out = held.join(per, F.col("_mix_id") == F.col("_mix_of")).withColumn("_mix_split", F.when(~whole, split))
+    out = out.withColumn("_mix_new", F.when(whole, F.col(f"`{text}`")).otherwise(cut))
+    made = {text: F.col("_mix_new")} | ({"n_chars": F.length("_mix_new").cast("long")} if "n_chars" in columns else {})
     return out.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in columns])

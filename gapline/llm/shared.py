@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without(df: DataFrame, names: set[str], *kept: str) -> DataFrame:
+    """df without the columns that an operator is about to add under the same names; its own inputs stay."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c in kept or c.lower() not in names])
+
+
 def lower_ascii(column):
     """Lower-cases A-Z and nothing else."""
     return F.translate(column, _UPPER, _LOWER)

@@ -128,9 +128,9 @@ def filter_urls(df: DataFrame, rules: dict[str, str], url: str = "url", default:
         return pd.DataFrame({"rule": rule[where], "verdict": verdict[where]})
 
     parted = _parts(df, url)
-    kept = [c for c in parted.columns if c.lower() not in ("rule", "verdict")]
-    return parted.select(*[F.col(f"`{c}`") for c in kept], judged("host", "path").alias("_j")).select(
-        *[F.col(f"`{c}`") for c in kept], "_j.rule", "_j.verdict"
+    kept = [c for c in parted.columns if c.lower() not in ("rule", "verdict", "_judged")]
+    return parted.select(*[F.col(f"`{c}`") for c in kept], judged("host", "path").alias("_judged")).select(
+        *[F.col(f"`{c}`") for c in kept], "_judged.rule", "_judged.verdict"
     )
 
 
