@@ -11,8 +11,8 @@ All draws are hashes of fixed numbers: reruns agree, whatever the partitioning.
 
 Defined results: a null source is a source of its own, the last; null and empty texts have size 0 and are never taken;
 rows that share an id are blocks of their own and their words count each; an empty table gives an empty result. Only
-sizes and offsets are shuffled, never texts. Words are placed by two
-running sums: over the rows of a range of hashed ids, and over the ranges of a source (one row for thousands of documents).
+sizes and offsets are shuffled, never texts. Words are placed by two running sums: over the rows of a range of hashed
+ids, and over the ranges of a source (one row for thousands of documents).
 """
 
 from __future__ import annotations

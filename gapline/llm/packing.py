@@ -3,8 +3,8 @@
 Sequences may have one of several permitted lengths. Documents over the longest are cut into full sequences of that
 length and a rest. Rests and shorter documents are items, longest first: an item goes to the open bin with the least
 room that holds it; if there is none, a bin of the size of least cost opens. That cost weighs all sizes jointly: for
-each size, the padding that remains if the bin is filled on with the items still to come (an unbounded knapsack over
-the lengths that are left), as a share of the size, plus a fixed cost for each sequence. At the end each bin shrinks to
+each size, the padding that remains if the bin is filled on with the longest items still to come that fit, plus a fixed
+cost for each sequence, as a share of the words that the bin then holds. At the end each bin shrinks to
 the smallest permitted length that holds its contents.
 
 Items are dealt to groups of about `group_rows` at random (a hash of row and seed), and each group is packed in a task:
@@ -36,7 +36,6 @@ def opening_size(lengths: np.ndarray, left: np.ndarray, first: int, sizes: tuple
         if size < first:
             continue
         room = size - first
-        # sums that some items still to come can reach, at most what is there of the shortest
         fill = reachable(present, left, room)
         padding = room - fill
         score = (padding + cost) / (size - padding)
@@ -46,7 +45,7 @@ def opening_size(lengths: np.ndarray, left: np.ndarray, first: int, sizes: tuple
 
 
 def reachable(present: np.ndarray, left: np.ndarray, room: int) -> int:
-    """The largest sum up to `room` that greedy best fit reaches with the items left."""
+    """The sum up to `room` that the longest items left which fit, one after another, reach."""
     total = 0
     used: dict[int, int] = {}
     while room - total > 0:
