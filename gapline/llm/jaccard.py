@@ -13,8 +13,8 @@ link is lost, whatever the data.
 
 A bucket gives links to its smallest member only, not all pairs. They are tested by the Hamming distance of narrower,
 foldable sketches and then exactly, on whole texts. What a bucket still holds of different components after that is
-tested pair by pair, over components only; large buckets are first dealt again by the segments of the narrow sketches
-(pigeonhole once more). Equal sets are one class and are never compared: in a task only the first of them is dealt.
+tested pair by pair, over components only: by the sketches in one task for buckets of up to `large` rows; larger ones are
+first dealt again by the segments of the narrow sketches (pigeonhole once more). Equal sets are one class and are never compared: in a task only the first of them is dealt.
 
 Defined results: null, empty and blank texts have no set and link with nothing; a text of fewer words has the one
 sequence of all its words; rows that share an id are nodes of their own (their component is the smallest id reached);
@@ -178,6 +178,18 @@ def sets(docs: DataFrame, key: str, text: str, size: int, num: int, den: int) ->
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(t).alias("mark"), t.alias("text")).mapInArrow(made, SETS)
 
 
+def _thinned(rows: DataFrame, hashed, wanted: DataFrame, bits: int = 1 << 22) -> DataFrame:
+    """The rows whose hash is perhaps in `wanted` (one column of hashes), so that a join after it shuffles few others. The
+    filter is a bitmap of a fixed size, whatever the tables' sizes; when it is full it lets all rows pass."""
+    place = wanted.select(F.pmod(wanted[0], F.lit(bits)).alias("_p")).select(F.floor(F.col("_p") / 64).alias("_w"), (F.col("_p") % 64).cast("int").alias("_b"))
+    words = place.groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_v"))
+    every = rows.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("_w"), "left").select("id", F.coalesce("_v", F.lit(0)).alias("_v"))
+    bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "_v"))), lambda x: x["_v"]).alias("_map")).scalar()
+    at = F.pmod(hashed, F.lit(bits))
+    word = F.get(bitmap, F.floor(F.col("_at") / 64).cast("int"))
+    return rows.withColumn("_at", at).withColumn("_word", word).filter("shiftrightunsigned(_word, int(_at % 64)) & 1 = 1").drop("_at", "_word")
+
+
 @F.arrow_udf(BooleanType())
 def _near(a: pa.Array, b: pa.Array, most: pa.Array) -> pa.Array:
     return pa.array([distance(x, y) <= d for x, y, d in zip(a.to_pylist(), b.to_pylist(), most.to_pylist())], pa.bool_())
@@ -199,7 +211,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, tex
     near, near_path = written(near)
     needed = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(nodes.select("node", "id", "mark"), "node")
     t = F.col(f"`{text}`").cast("string")
-    whole = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(t).alias("mark"), t.alias("text"))
+    whole = _thinned(docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(t).alias("mark"), t.alias("text")), F.col("mark"), needed.select("mark"))
     # rows with the same id and text are the same here: one of them is enough
     found = needed.select("node", F.col("id").alias("_id"), F.col("mark").alias("_mark")).join(
         whole, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
@@ -224,7 +236,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, tex
     return links
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100, large: int = 24) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100, large: int = 4096) -> DataFrame:
     """A row for each row of docs: node, id, mark, n_shingles, component_id (the smallest id reached), first (whether the
     node stands for its component: it has the smallest id, and of those the smallest number)."""
     every, _ = written(sets(docs, key, text, size, num, den))
@@ -234,26 +246,41 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
 
     by_name = Window.partitionBy("name")
     dealt = every.select("node", F.explode("names").alias("name"))
-    met = dealt.withColumns({"hub": F.min("node").over(by_name), "many": F.count("*").over(by_name)}).filter("many > 1")
+    met = dealt.withColumns({"hub": F.min("node").over(by_name), "many": F.count("*").over(by_name), "_all": F.bit_xor(F.xxhash64("node")).over(by_name)})
+    # buckets with the same members are one (if two were taken for one, that would only add candidates)
+    met = met.filter("many > 1").select(F.xxhash64("hub", "many", "_all").alias("name"), "node", "hub", "many").distinct()
     met, met_path = written(met)
-    stars = met.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = same.union(_verified(stars, every, docs, key, text, size, num, den))
+    who = met.select("node").distinct()
+    few = _thinned(every.drop("names"), F.xxhash64("node"), who.select(F.xxhash64("node")))
+    faces, _ = written(few.join(who, "node", "left_semi"))
+    stars, _ = written(met.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    links = same.union(_verified(stars, faces, docs, key, text, size, num, den))
     links, _ = written(links)
-    found, found_path = written(components(links))
-
-    # buckets of three and more that still hold several components
-    placed = met.filter("many > 2").join(found, "node", "left").select("name", "node", F.coalesce("component", "node").alias("component"))
-    open_names = placed.groupBy("name").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("many")).filter("_x <> _y").select("name", "many")
-    left, left_path = written(placed.join(open_names, "name").join(every.select("node", "n", "sketch"), "node"))
-    rest = _across(left.filter(F.col("many") <= large).select("name", "node", "component")).union(
-        _across(_segments(left.filter(F.col("many") > large), num, den))
-    ).distinct()
-    rest, rest_path = written(rest.join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = _verified(rest, every, docs, key, text, size, num, den)
-        found, found_path = written(components(links.union(more)))
-    for path in (met_path, left_path, rest_path):
-        drop(docs.sparkSession, path)
+    found, _ = written(components(links))
+
+    # buckets of three and more that still hold several components: one round tests the nearest such row of each
+    # row, which joins most of them, the other one whatever is left
+    tested, left = stars, met.filter("many > 2").select("name", "node")
+    for nearest in (True, False):
+        placed = left.select("name", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        held = placed.groupBy("name").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("many"))
+        # components only grow: buckets that hold one stay closed
+        left, _ = written(placed.join(held.filter("_x <> _y").select("name", "many"), "name"))
+        if left.isEmpty():
+            break
+        # a task takes many buckets at a time
+        packs = F.pmod(F.xxhash64("name"), F.lit(1 + left.count() // 20000))
+        shown = left.join(faces.select("node", "n", "sketch"), "node")
+        rest = (
+            shown.filter(F.col("many") <= large).select(packs.alias("pack"), "name", "node", "component", "n", "sketch")
+            .groupBy("pack").applyInArrow(_across(num, den, nearest), "a long, b long")
+        )
+        rest, _ = written(rest.union(_met_again(_segments(shown.filter(F.col("many") > large), num, den))).distinct().join(tested, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            links = links.union(_verified(rest, faces, docs, key, text, size, num, den))
+            found, _ = written(components(links))
+            tested = tested.union(rest)
+    drop(docs.sparkSession, met_path)
 
     rows = every.select("node", "id", "mark", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("_null"), "id", "node")).alias("_m"))
@@ -262,7 +289,41 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
     )
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _across(num: int, den: int, nearest: bool):
+    """Pairs a > b of rows of a bucket in different components whose sketches are near enough, or for each row
+    the nearest such; several buckets a call."""
+
+    def near(rows: pa.Table) -> pa.Table:
+        name, component, node, n = (rows.column(c).to_numpy() for c in ("name", "component", "node", "n"))
+        order = np.lexsort((component, name))
+        name, component, node, n = name[order], component[order], node[order], n[order]
+        raw = rows.column("sketch").take(pa.array(order)).to_pylist()
+        left, right = [], []
+        new = np.concatenate([[True], name[1:] != name[:-1]])
+        buckets = np.flatnonzero(new).tolist()
+        after = np.flatnonzero(np.concatenate([(name[1:] != name[:-1]) | (component[1:] != component[:-1]), [True]])) + 1
+        next_component = np.repeat(after, np.diff(after, prepend=0))
+        for start, stop in zip(buckets, [*buckets[1:], len(node)]):
+            size = min(map(len, raw[start:stop]))
+            narrow = np.stack([folded(x, size) for x in raw[start:stop]]).view(np.uint64)
+            for i in range(start, stop):
+                other = int(next_component[i])
+                if other >= stop:
+                    break
+                far = np.bitwise_count(narrow[other - start :] ^ narrow[i - start]).sum(1, dtype=np.int64)
+                j = other + np.flatnonzero((den + num) * far <= (den - num) * (n[other:stop] + n[i]))
+                if len(j):
+                    if nearest:
+                        j = j[[far[j - other].argmin()]]
+                    left.append(np.maximum(node[i], node[j]))
+                    right.append(np.minimum(node[i], node[j]))
+        none = np.empty(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])})
+
+    return near
+
+
+def _met_again(rows: DataFrame) -> DataFrame:
     """Pairs a > b of rows (name, node, component) that share a name and not a component."""
     other = rows.select("name", F.col("node").alias("b"), F.col("component").alias("_c"))
     return rows.join(other, "name").filter((F.col("node") > F.col("b")) & (F.col("component") != F.col("_c"))).select(F.col("node").alias("a"), "b")
@@ -296,7 +357,12 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **optio
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs that stand for their components, with all their columns."""
     t = F.col(f"`{text}`").cast("string")
-    kept = join(docs, key, text, **options).filter("first").select(F.col("id").alias("_id"), F.col("mark").alias("_m"), F.row_number().over(Window.partitionBy("id", "mark").orderBy("node")).alias("_k"))
+    equal = Window.partitionBy("id", "mark").orderBy("node")
+    kept = join(docs, key, text, **options).filter("first").select(
+        F.col("id").alias("_near_id"), F.col("mark").alias("_near_of"), F.row_number().over(equal).alias("_near_k")
+    )
     # rows that are equal in id and text are told apart by their number only: as many stay as stand for components
-    numbered = docs.withColumn("_mark", F.xxhash64(t)).withColumn("_number", F.row_number().over(Window.partitionBy(F.col(f"`{key}`"), "_mark").orderBy(F.lit(1))))
-    return numbered.join(kept, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")) & (F.col("_number") == F.col("_k")), "left_semi").drop("_mark", "_number")
+    again = Window.partitionBy(F.col(f"`{key}`"), "_near_mark").orderBy(F.lit(1))
+    numbered = docs.withColumn("_near_mark", F.xxhash64(t)).withColumn("_near_number", F.row_number().over(again))
+    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_near_id")) & (F.col("_near_mark") == F.col("_near_of")) & (F.col("_near_number") == F.col("_near_k"))
+    return numbered.join(kept, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
