@@ -39,6 +39,7 @@ from .shared import drop, written
 from .text import coded, mix, slices, words
 
 LEVELS = 4
+TURNS = 4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -246,10 +247,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
 
     by_name = Window.partitionBy("name")
     dealt = every.select("node", F.explode("names").alias("name"))
-    met = dealt.withColumns({"hub": F.min("node").over(by_name), "many": F.count("*").over(by_name), "_all": F.bit_xor(F.xxhash64("node")).over(by_name)})
-    # buckets with the same members are one (if two were taken for one, that would only add candidates)
-    met = met.filter("many > 1").select(F.xxhash64("hub", "many", "_all").alias("name"), "node", "hub", "many").distinct()
-    met, met_path = written(met)
+    met, met_paths = None, []
+    for turn in range(TURNS):  # buckets are apart by name: the shuffle files of one turn are gone before the next
+        some = dealt.filter(F.pmod("name", F.lit(TURNS)) == turn)
+        some = some.withColumns({"hub": F.min("node").over(by_name), "many": F.count("*").over(by_name), "_all": F.bit_xor(F.xxhash64("node")).over(by_name)})
+        # buckets with the same members are one (if two were taken for one, that would only add candidates)
+        some = some.filter("many > 1").select(F.xxhash64("hub", "many", "_all").alias("name"), "node", "hub", "many").distinct()
+        some, path = written(some)
+        met, met_paths = some if met is None else met.union(some), [*met_paths, path]
+    met, met_path = written(met.distinct())
+    for path in met_paths:
+        drop(docs.sparkSession, path)
     who = met.select("node").distinct()
     few = _thinned(every.drop("names"), F.xxhash64("node"), who.select(F.xxhash64("node")))
     faces, _ = written(few.join(who, "node", "left_semi"))
