@@ -124,6 +124,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         (F.least((F.col("block") + 1) * block, F.col("_at") + F.col("size")) - F.greatest(F.col("block") * block, F.col("_at"))).alias("words"),
     )
     slots = _slots(spark, per_source, shard_slots, max_passes, seed)
+    # slots come from a few rows of sources, so the planner takes them for few: without the hint it would broadcast them
+    slots = slots.hint("merge")
     pieces = parts.join(slots, parts["_source"].eqNullSafe(slots["_slot_source"]) & (parts["block"] == slots["_slot_block"])).select(
         "_row", "_source", "block", "pass", "shard", "slot", "first", "words"
     )
