@@ -16,6 +16,10 @@ foldable sketches and then exactly, on whole texts. What a bucket still holds of
 tested pair by pair, over components only: by the sketches in one task for buckets of up to `large` rows; larger ones are
 first dealt again by the segments of the narrow sketches (pigeonhole once more). Equal sets are one class and are never compared: in a task only the first of them is dealt.
 
+The links themselves are counted after that (`links=True`): every link lies within a component, so all pairs of classes of a
+component are intersected exactly, on whole texts. Large components are cut in blocks, and a task takes two of them; it gives
+a sum for each row, never the pairs. Of two classes in a component of two, each links with the other.
+
 Defined results: null, empty and blank texts have no set and link with nothing; a text of fewer words has the one
 sequence of all its words; rows that share an id are nodes of their own (their component is the smallest id reached);
 null ids are never the smallest (all null: null); an empty table gives an empty result. Sets are compared as sets of
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -135,11 +140,11 @@ def distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
 
 
-SETS = "node long, id long, mark long, n int, fp1 long, fp2 long, sketch binary, names array<long>"
+SETS = "node long, id long, mark long, n int, size int, fp1 long, fp2 long, sketch binary, names array<long>"
 
 
 def sets(docs: DataFrame, key: str, text: str, size: int, num: int, den: int) -> DataFrame:
-    """A row for each row of docs: node (a number of its own), id, mark (hash of the text), n, the set's fingerprint, its
+    """A row for each row of docs: node (a number of its own), id, mark (hash of the text), n, the text's bytes, the set's fingerprint, its
     narrow sketch and the names of its blocks (none if the task has dealt an equal set before)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,12 +171,13 @@ def sets(docs: DataFrame, key: str, text: str, size: int, num: int, den: int) ->
                         part.column("id"),
                         part.column("mark"),
                         pa.array(n, pa.int32()),
+                        pc.binary_length(part.column("text")),
                         pa.array(np.array(fp1, np.uint64).view(np.int64)),
                         pa.array(np.array(fp2, np.uint64).view(np.int64)),
                         pa.array(narrow, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(many, pa.int32()), pa.array(flat.view(np.int64))),
                     ],
-                    ["node", "id", "mark", "n", "fp1", "fp2", "sketch", "names"],
+                    ["node", "id", "mark", "n", "size", "fp1", "fp2", "sketch", "names"],
                 )
                 first += len(n)
 
@@ -237,9 +243,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, tex
     return links
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100, large: int = 4096) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100, large: int = 4096, links: bool = False, block: int = 1024) -> DataFrame:
     """A row for each row of docs: node, id, mark, n_shingles, component_id (the smallest id reached), first (whether the
-    node stands for its component: it has the smallest id, and of those the smallest number)."""
+    node stands for its component: it has the smallest id, and of those the smallest number). With `links` also n_links, the
+    number of other rows that the row links with; rows with an equal set count each."""
+    with_links = links
     every, _ = written(sets(docs, key, text, size, num, den))
     # equal sets are a class
     classes = every.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("node").alias("b"), F.count("*").alias("_k")).filter("_k > 1")
@@ -292,9 +300,87 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
 
     rows = every.select("node", "id", "mark", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("_null"), "id", "node")).alias("_m"))
-    return rows.join(least, "component").select(
+    out = rows.join(least, "component").select(
         "node", "id", "mark", F.col("n").cast("long").alias("n_shingles"), F.col("_m.id").alias("component_id"), (F.col("node") == F.col("_m.node")).alias("first")
     )
+    if not with_links:
+        return out
+    weights = classes.select("b", "_k")
+    first = every.select("node", "id", "mark", "size").join(same.select(F.col("a").alias("node")), "node", "left_anti")
+    members = first.join(found, "node").join(weights.withColumnRenamed("b", "node"), "node", "left").withColumn("weight", F.coalesce("_k", F.lit(1))).drop("_k")
+    sums, _ = written(_counted(written(members)[0], docs, key, text, size, num, den, block))
+    of_class = weights.join(sums.withColumnRenamed("node", "b"), "b", "full").select("b", (F.coalesce("links", F.lit(0)) + F.coalesce("_k", F.lit(1)) - 1).alias("n_links"))
+    of_row = every.select("node").join(same.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("b")).join(of_class, "b")
+    return out.join(of_row.select("node", "n_links"), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+
+
+def _counted(members: DataFrame, docs: DataFrame, key: str, text: str, size: int, num: int, den: int, block: int, most: int = 8 << 20) -> DataFrame:
+    """(node, links): the weights of the other classes that each class (node, id, mark, size, component, weight) links with."""
+    held = members.groupBy("component").agg(F.count("*").alias("_many"), F.sum("size").alias("_bytes"), F.sum("weight").alias("_all")).filter("_many > 1")
+    placed, path = written(members.join(held, "component"))
+    of_two = placed.filter("_many = 2").select("node", (F.col("_all") - F.col("weight")).alias("links"))
+    cuts = F.greatest(F.ceil(F.col("_many") / block), F.ceil(F.col("_bytes") / most))
+    more = placed.filter("_many > 2").withColumn("_cuts", cuts).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_cuts")))
+    other = more.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1)))
+    # many small components go to one call; of a large one, two blocks do
+    packs = 1 + (more.filter("_cuts = 1").agg(F.sum("size")).first()[0] or 0) // most
+    dealt = other.select(
+        "node", "weight", "component", "_part", F.coalesce("id", F.lit(0)).alias("_id"), F.col("mark").alias("_mark"),
+        F.least("_part", "_other").alias("low"), F.greatest("_part", "_other").alias("high"),
+        F.when(F.col("_cuts") == 1, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.xxhash64("component", F.least("_part", "_other"), F.greatest("_part", "_other"))).alias("pack"),
+    )
+    t = F.col(f"`{text}`").cast("string")
+    every = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0)).alias("_id"), F.xxhash64(t).alias("_mark"), t.alias("text"))
+    # rows with the same mark and id have the same text: one of them is enough
+    whole = _thinned(every, F.col("_mark"), more.select("mark")).dropDuplicates(["_id", "_mark"])
+    shown = dealt.join(whole, ["_id", "_mark"]).select("pack", "component", "low", "high", "_part", "node", "weight", "text")
+    counts, counts_path = written(shown.groupBy("pack").applyInArrow(_within(size, num, den), "node long, links long"))
+    out, _ = written(counts.groupBy("node").agg(F.sum("links").alias("links")).union(of_two))
+    drop(docs.sparkSession, path)
+    drop(docs.sparkSession, counts_path)
+    return out
+
+
+def _within(size: int, num: int, den: int, columns: int = 4096):
+    """The weights that each row of a block links with in the other block of the component, or in its own; several
+    pairs of blocks a call."""
+
+    def counted(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("component", "low", "high", "_part")]).combine_chunks()
+        component, low, high, part, node, weight = (rows.column(c).to_numpy() for c in ("component", "low", "high", "_part", "node", "weight"))
+        new = np.flatnonzero((component[1:] != component[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
+        nodes, links = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for start, stop in zip([0, *new.tolist()], [*new.tolist(), len(node)]):
+            texts = rows.column("text").slice(start, stop - start).combine_chunks()
+            held = list(shingles(texts, size))
+            n = np.array([len(h) for h in held])
+            _, place, often = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            shared = often > 1  # others are in no intersection
+            owner, place = np.repeat(np.arange(len(n)), n)[shared[place]], (np.cumsum(shared) - 1)[place[shared[place]]]
+            order = np.argsort(place, kind="stable")
+            owner, place = owner[order], place[order]
+            # the first block against the second one, or a block against itself
+            one = low[start] == high[start]
+            cut = len(n) if one else int((part[start:stop] == low[start]).sum())
+            left, right = slice(0, cut), slice(0 if one else cut, len(n))
+            common = np.zeros((cut, len(n) - right.start), np.int64)
+            for k in range(0, int(shared.sum()), columns):
+                i, j = np.searchsorted(place, (k, k + columns))
+                there = np.zeros((len(n), min(columns, int(shared.sum()) - k)), np.float32)
+                there[owner[i:j], place[i:j] - k] = 1
+                common += (there[left] @ there[right].T).astype(np.int64)
+            linked = den * common >= num * (n[left, None] + n[None, right] - common)
+            w = weight[start:stop]
+            if one:
+                np.fill_diagonal(linked, False)
+                got = linked @ w
+            else:
+                got = np.concatenate([linked @ w[right], w[left] @ linked])
+            nodes.append(node[start:stop])
+            links.append(got.astype(np.int64))
+        return pa.table({"node": np.concatenate(nodes), "links": np.concatenate(links)})
+
+    return counted
 
 
 def _across(num: int, den: int, nearest: bool):
@@ -358,8 +444,8 @@ def _segments(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The id, n_shingles and component_id of every row of docs."""
-    return join(docs, key, text, **options).select(F.col("id").alias(key), "n_shingles", "component_id")
+    """The id, n_shingles, n_links and component_id of every row of docs."""
+    return join(docs, key, text, links=True, **options).select(F.col("id").alias(key), "n_shingles", "n_links", "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

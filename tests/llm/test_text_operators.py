@@ -167,6 +167,24 @@ def test_jaccard_join_is_brute_force(spark, size, num, den, large):
     assert sum(r["first"] for r in got.values()) == len(set(roots))
 
 
+@pytest.mark.parametrize("size, num, den, block", [(4, 85, 100, 1024), (5, 80, 100, 4)])
+def test_jaccard_join_counts_every_link(spark, size, num, den, block):
+    texts = families()
+    texts += texts[::5]
+    sets = [frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset() for w in map(tokens, texts)]
+    linked = lambda a, b: bool(a) and bool(b) and den * len(a & b) >= num * len(a | b)
+    wanted = [sum(linked(a, b) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.duplicates(df, size=size, num=num, den=den, block=block).collect()}
+    assert [got[i] for i in range(len(texts))] == wanted and max(wanted) > 3
+
+
+def test_jaccard_links_on_odd_and_empty_tables(odd, empty):
+    got = sorted(((r["doc_id"] or 0, r["n_links"]) for r in jaccard.duplicates(odd).collect()))
+    assert got == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (4, 1), (5, 1), (6, 1), (7, 0), (7, 0), (8, 0)]
+    assert jaccard.duplicates(empty).columns == ["doc_id", "n_shingles", "n_links", "component_id"]
+
+
 def test_jaccard_join_on_odd_and_empty_tables(odd, empty):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.duplicates(odd).collect()), key=repr)
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 4 - 2, 5), (6, 2, 5), (None, 2, None), (7, 2, 7), (7, 2, 7), (8, 1, 8)], key=repr)
