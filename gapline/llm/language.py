@@ -213,19 +213,41 @@ def predict(net: Network, texts: pa.Array) -> pa.StructArray:
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", max_rows: int = 500, max_chars: int = 200_000, **options) -> bytes:
     """A network from a bounded sample of the rows of `docs`, about `max_rows` a language; pass only rows that may teach."""
+    chosen, many = _sample(docs, key, text, language, max_rows, max_chars)
+    if not many:
+        return Network([]).dump()
+    rows = chosen.orderBy(F.xxhash64(key), key, text).limit(2 * max_rows * many).toPandas()
+    return fit(rows[text].tolist(), rows[language].tolist(), **options)
+
+
+def _sample(docs: DataFrame, key: str, text: str, language: str, max_rows: int, max_chars: int) -> tuple[DataFrame, int]:
+    """About `max_rows` rows a language, by hash of their ids, and the number of languages."""
     known = docs.filter(F.col(language).isNotNull() & F.col(text).isNotNull())
     each = {r[0]: r[1] for r in known.groupBy(language).count().collect()}  # a row a language
     if not each:
-        return Network([]).dump()
+        return known.select(key, text, language), 0
     share = F.create_map(*[F.lit(x) for k, n in each.items() for x in (k, int(min(1.0, max_rows / n) * (1 << 30)))])
-    rows = (
-        known.filter((F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share[F.col(language)]) & (F.length(text) <= max_chars))
-        .select(key, text, language)
-        .orderBy(F.xxhash64(key), key, text)
-        .limit(2 * max_rows * len(each))
-        .toPandas()
-    )
-    return fit(rows[text].tolist(), rows[language].tolist(), **options)
+    taken = known.filter((F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share[F.col(language)]) & (F.length(text) <= max_chars))
+    return taken.select(key, text, language), len(each)
+
+
+def least_scores(docs: DataFrame, model: bytes, lost: float, key: str = "doc_id", text: str = "text", language: str = "lang", max_rows: int = 2000, max_chars: int = 200_000) -> dict[str, float]:
+    """For each learned language the score that a share `lost` of its rows in `docs` is under, from a bounded sample; pass
+    only rows that did not teach. It is never under `clearly_above_chance`, also for a language without such rows."""
+    languages = Network.load(model).languages
+    least = clearly_above_chance(len(languages))
+    chosen, many = _sample(docs, key, text, language, max_rows, max_chars)
+    found = {}
+    if many and languages:
+        judged = identify(chosen.select(F.col(text).alias("text"), F.col(language).alias("_truth")), model)
+        right = judged.filter(F.col("lang_pred") == F.col("_truth"))
+        found = {r[0]: r[1] for r in right.groupBy("lang_pred").agg(F.percentile("score", F.lit(lost))).collect()}  # a row a language
+    return {k: max(least, found.get(k, least)) for k in languages}
+
+
+def clearly_above_chance(languages: int) -> float:
+    """One and a half times the score of guessing; with one or two languages 0.75, halfway from a coin to certainty."""
+    return min(0.75, 1.5 / max(languages, 1))
 
 
 def identify(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gapline.llm import jaccard, language, mixing, ngram_lm, packing, queries, toxicity
 from gapline.llm.elias_fano import MISS, EliasFano, Reader, Trie, Writer
 from gapline.llm.shared import crc_fold, word_count
@@ -301,6 +302,22 @@ def test_language_on_held_out_rows(spark):
     assert (both["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in both["doc_id"]]).all()
 
 
+def test_language_stage_rejects_an_unlearned_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for hidden in ("de", "fr"):
+        blind = docs.withColumn("lang", F.when(F.col("lang") != hidden, F.col("lang")))
+        kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, blind, "").select("doc_id").collect()}
+        rows = docs.filter(F.col("text").rlike(r"\pL")).select("doc_id", "lang").collect()
+        unlearned, learned = [r["doc_id"] in kept for r in rows if r["lang"] == hidden], [r["doc_id"] in kept for r in rows if r["lang"] != hidden]
+        assert np.mean(unlearned) < 0.1 and np.mean(learned) > 0.97
+
+
+def test_language_stage_on_odd_and_empty_tables(odd, empty):
+    kept = corpus_pipeline.identify_language(None, odd, "")
+    assert kept.columns == odd.columns and not {1, 2, 3} & {r["doc_id"] for r in kept.collect()}
+    assert corpus_pipeline.identify_language(None, empty, "").count() == 0
+
+
 def test_gradients_are_those_of_the_loss():
     net = language.Network(["a", "b", "c"], hidden=3)
     for k in language.NAMES:
