@@ -58,8 +58,8 @@ class Ftrl:
 
     def __init__(self, bits: int, alpha: float, beta: float, l1: float, l2: float):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z = np.zeros((1 << bits) + 1)
-        self.n = np.zeros((1 << bits) + 1)
+        self.z = np.zeros((1 << bits) + 1, np.float32)
+        self.n = np.zeros((1 << bits) + 1, np.float32)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
         z = self.z[at]
@@ -76,27 +76,30 @@ class Ftrl:
         self.n[at] = n + square
 
 
-def fit(texts: list[str | None], labels: list[int], bits: int = 22, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1, epochs: int = 4, seed: int = 7, kept: tuple[float, float] = (1.0, 1.0)) -> bytes:
+def fit(texts: list[str | None] | pa.ChunkedArray, labels: list[int], bits: int = 22, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1, epochs: int = 4, seed: int = 7, kept: tuple[float, float] = (1.0, 1.0)) -> bytes:
     """The model: places and weights that are not 0, the bias first. `kept`: the shares of label 0 and label 1 that the
     sample kept; the bias is moved back by their ratio."""
     model = Ftrl(bits, alpha, beta, l1, l2)
-    examples = []
     bias = 1 << bits
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["t"])
-    for part in slices(batch, "t", 2 << 20) if len(texts) else ():
-        owner, place = features(part.column(0), bits)
-        order = np.argsort(owner, kind="stable")
-        ends = np.searchsorted(owner[order], np.arange(1, part.num_rows))
-        examples += [np.append(np.unique(p), bias).astype(np.int32) for p in np.split(place[order], ends)]
+    examples = []  # parts of a few flat arrays
+    for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [pa.array(texts, pa.string())]:
+        for part in slices(pa.RecordBatch.from_arrays([chunk], ["t"]), "t", 2 << 20):
+            owner, place = features(part.column(0), bits)
+            both = np.unique((owner.astype(np.int64) << bits) | place)
+            ends = np.searchsorted(both >> bits, np.arange(1, part.num_rows))
+            examples += np.split((both & (bias - 1)).astype(np.int32), ends)
     turn = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in turn.permutation(len(examples)):
-            model.learn(examples[i], float(labels[i]))
-    touched = np.append(bias, np.flatnonzero(model.n[:-1]))
-    w = model.weights(touched)
-    keep = (w != 0) | (touched == bias)
-    w[0] += math.log(kept[0] / kept[1]) if min(kept) > 0 else 0.0
-    return np.array([bits], "<i8").tobytes() + np.concatenate([touched[keep].astype("<f8"), w[keep]]).tobytes()
+            model.learn(np.append(examples[i], bias), float(labels[i]))
+    touched, weights = [np.array([bias])], [model.weights(np.array([bias]))]
+    weights[0] += math.log(kept[0] / kept[1]) if min(kept) > 0 else 0.0
+    for start in range(0, bias, 1 << 18):  # few places at a time: most have no weight
+        at = start + np.flatnonzero(model.n[start : min(start + (1 << 18), bias)])
+        w = model.weights(at)
+        touched.append(at[w != 0])
+        weights.append(w[w != 0])
+    return np.array([bits], "<i8").tobytes() + np.concatenate([*touched, *weights]).astype("<f8").tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -129,7 +132,7 @@ def scores(texts: pa.Array, model: tuple[int, np.ndarray, float]) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0)
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int, max_chars: int) -> tuple[list, list, tuple[float, float]]:
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_rows: int, max_chars: int) -> tuple[pa.ChunkedArray, list, tuple[float, float]]:
     """About `max_rows` labelled rows at most, half of each label as far as there are so many, by hash of their ids; and
     the share of each label that was kept."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg((F.max(label) > 0).cast("int").alias("_label"))
@@ -143,12 +146,12 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
         .filter(F.col(text).isNotNull() & (F.length(text) <= max_chars))
         .orderBy(F.xxhash64(key), key, text)
         .limit(max_rows)
-        .toPandas()
+        .toArrow()
     )
-    return rows[text].tolist(), rows["_label"].tolist(), kept
+    return rows.column(text), rows.column("_label").to_pylist(), kept
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 8000, max_chars: int = 200_000, **options) -> bytes:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 16000, max_chars: int = 200_000, **options) -> bytes:
     """A model from a bounded sample of the labelled rows of `docs`; pass only rows that may teach."""
     texts, known, kept = sample(docs, labels, key, text, label, max_rows, max_chars)
     return fit(texts, known, kept=kept, **options)

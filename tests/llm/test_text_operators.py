@@ -370,6 +370,16 @@ def test_toxicity_finds_words_it_learned(spark):
     assert (np.count_nonzero(toxicity.load(model)[1])) < 200
 
 
+def test_toxicity_learns_from_16000_rows(spark, monkeypatch):
+    df = spark.range(17_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text"))
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    taught = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, known, **_: taught.append((len(texts), len(known), sum(known))))
+    toxicity.train(df, labels)
+    toxicity.train(df, labels.filter("doc_id < 12000"))
+    assert taught[0][0] == taught[0][1] and 15_700 < taught[0][0] <= 16_000 and taught[1] == (12_000, 12_000, 6_000)
+
+
 def test_toxicity_on_odd_and_empty_tables(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, 0), (6, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
