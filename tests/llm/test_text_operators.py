@@ -287,6 +287,13 @@ def test_best_fit_takes_the_least_room_and_the_cheapest_size():
     assert sum(c for c, _, _ in best) == 160 and packing.pack([], (8,)) == []
 
 
+def test_every_opening_takes_the_cheapest_size_of_what_is_left(monkeypatch):
+    chosen, choose = [], packing.opening_size
+    monkeypatch.setattr(packing, "opening_size", lambda *a: chosen.append(choose(*a)) or chosen[-1])
+    bins = packing.pack([60] * 40 + [30] * 20 + [7] * 11, (64, 128, 256))
+    assert len(chosen) == len(bins) > 9 and sum(len(b) for _, _, b in bins) == 71
+
+
 def test_packing_on_odd_and_empty_tables(odd, empty):
     got = packing.pack_documents(odd.select("*", F.lit(1).alias("used"), F.lit(2).alias("_row"))).toPandas()
     assert got["words"].sum() == sum(len(tokens(r[1])) for r in ODD)
