@@ -4,7 +4,8 @@ The network reads a text as runs of bytes: its words, with A-Z lower-cased, thos
 many. Each run is read forwards and backwards from a zero state, every byte gets probabilities of the languages from
 both states, and a document pools them: the prediction has the largest mean log probability over all positions, and the
 score is the mean probability of that language. Runs that are equal have equal labels, so each is computed once for a
-batch and counted as often as it occurs; whole texts are covered.
+batch and counted as often as it occurs; all words of whole texts are covered, white space is not labelled, and nothing is
+carried from one run to the next.
 
 It is trained here in numpy, by backpropagation through time with Adam, on a sample bounded by `max_rows` texts a language
 and `pieces` runs a text, drawn from all places of the text.
