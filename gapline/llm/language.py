@@ -1,22 +1,26 @@
 """Language ID: a bidirectional gated recurrent network over bytes.
 
-The network reads a text as runs of bytes: its words, with A-Z lower-cased, those over `WINDOW` bytes in windows of that
-many. Each run is read forwards and backwards from a zero state, every byte gets probabilities of the languages from
-both states, and a document pools them: the prediction has the largest mean log probability over all positions, and the
-score is the mean probability of that language. Runs that are equal have equal labels, so each is computed once for a
-batch and counted as often as it occurs; all words of whole texts are covered, white space is not labelled, and nothing is
-carried from one run to the next.
+The network reads the bytes of a whole text, with A-Z lower-cased, white space included, between blanks: `CONTEXT` before
+it, and after it as many that its length becomes a multiple of 32, and `CONTEXT` more. Every byte gets probabilities of the languages from a forward and a backward state, and a document pools them:
+the prediction has the largest mean log probability over all positions, and the score is the mean probability of that
+language. To read long texts side by side they are cut into windows of `CORE` bytes; each state is warmed up on
+the `CONTEXT` bytes before (or, backwards, after) its window, so words at a cut are read with their surroundings, and each
+byte is labelled in one window only.
 
-It is trained here in numpy, by backpropagation through time with Adam, on a sample bounded by `max_rows` texts a language
-and `pieces` runs a text, drawn from all places of the text.
+It is trained in numpy, by backpropagation through time with Adam, in one executor task. The sample has about `max_rows`
+texts of each language, for the `max_languages` commonest ones, and reading ends once it holds `max_bytes`; each step
+draws windows of any place of any sampled text, and half of them stand alone between blanks, as short texts do.
 
 Defined results: `und` with score 0 for texts that are null or have no letter, and for all if nothing could be learned;
-rows with a null language teach nothing; ties go to the smaller language; an empty table gives an empty result.
+rows with a null language teach nothing; ties go to the smaller language; repeated rows are judged each, with the same
+result; very long texts are read whole, in a slice of their own; columns named `lang_pred` or `score` are replaced; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,30 +29,38 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import local_file, ship
-from .text import coded, slices, words
+from .shared import learned, local_file, ship, without
+from .text import slices
 
-WINDOW = 32
+CORE = 256
+CONTEXT = 16
+BLANK = 0x20
 UNKNOWN = "und"
 NAMES = ("table", "inner", "out", "bias")
 
 
-def runs(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all distinct words, and of their windows: word, start and length."""
-    offsets = np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1].astype(np.int64)
-    data = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)
-    lengths = np.diff(offsets)
-    many = -(-lengths // WINDOW)
-    word = np.repeat(np.arange(len(distinct)), many)
-    number = np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many)
-    start = offsets[:-1][word] + number * WINDOW
-    return data, word, start, np.minimum(lengths[word] - number * WINDOW, WINDOW)
+def read_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts one after another, A-Z lower-cased, and where each text starts (and the last ends)."""
+    low = pc.ascii_lower(pc.fill_null(texts, ""))
+    low = low.combine_chunks() if isinstance(low, pa.ChunkedArray) else low
+    kind = np.int64 if pa.types.is_large_string(low.type) else np.int32
+    offsets = np.frombuffer(low.buffers()[1], kind)[low.offset : low.offset + len(low) + 1].astype(np.int64) if len(low) else np.zeros(1, np.int64)
+    return np.frombuffer(low.buffers()[2] or b"", np.uint8) if len(low) else np.empty(0, np.uint8), offsets
+
+
+def windows(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, core: int) -> np.ndarray:
+    """(CONTEXT + core + CONTEXT, n) bytes around the places `first`; those outside of [begin, end) are blank."""
+    at = first + np.arange(-CONTEXT, core + CONTEXT)[:, None]
+    out = data[np.clip(at, 0, max(len(data) - 1, 0))] if len(data) else np.zeros(at.shape, np.uint8)
+    out[(at < begin) | (at >= end)] = BLANK
+    return out
 
 
 class Network:
-    """table: (2, 256, 3H) input weights of each byte with biases, inner: (2, H, 3H), out: (2, H, L), bias: (L)."""
+    """table: (2, 256, 3H) input weights of each byte with biases, inner: (2, H, 3H), out: (2, H, L), bias: (L).
+    The first 2H columns are the update and reset gates, the last H the new state."""
 
-    def __init__(self, languages: list[str], hidden: int = 24, seed: int = 3):
+    def __init__(self, languages: list[str], hidden: int = 12, seed: int = 3):
         self.languages, self.h = languages, hidden
         draw = np.random.default_rng(seed)
         self.table = draw.normal(0, 0.3, (2, 256, 3 * hidden)).astype(np.float32)
@@ -71,15 +83,51 @@ class Network:
             at += 4 * old.size
         return net
 
-    def _states(self, x: np.ndarray, way: int, keep: bool):
-        """States after each of the T bytes of x (n, T), in the reading order of this way."""
-        n, steps = x.shape
+    def label(self, x: np.ndarray) -> np.ndarray:
+        """Log probabilities (core, L, n) of the bytes between the contexts of x (CONTEXT + core + CONTEXT, n)."""
+        steps, n = x.shape
+        core, hidden = steps - 2 * CONTEXT, self.h
+        scores = np.empty((core, len(self.languages), n), np.float32)
+        scores[:] = self.bias[:, None]
+        # sigmoid(u) = (1 + tanh(u / 2)) / 2: the halves are put into the weights
+        half = np.repeat(np.array([0.5, 1], np.float32), (2 * hidden, hidden))
+        given, gates = np.empty((n, 3 * hidden), np.float32), np.empty((2 * hidden, n), np.float32)
+        new, reset = np.empty((hidden, n), np.float32), np.empty((hidden, n), np.float32)
+        for way in (0, 1):
+            table = self.table[way] * half
+            to_gates = np.ascontiguousarray((self.inner[way, :, : 2 * hidden] / 2).T)
+            to_new = np.ascontiguousarray((self.inner[way, :, 2 * hidden :] / 2).T)
+            out = np.ascontiguousarray(self.out[way].T)
+            h = np.zeros((hidden, n), np.float32)
+            for t in range(core + CONTEXT) if way == 0 else range(steps - 1, CONTEXT - 1, -1):
+                np.take(table, x[t], axis=0, out=given, mode="clip")
+                seen = np.ascontiguousarray(given.T)
+                np.matmul(to_gates, h, out=gates)
+                gates += seen[: 2 * hidden]
+                np.tanh(gates, out=gates)
+                gates += 1
+                np.multiply(gates[hidden:], h, out=reset)
+                np.matmul(to_new, reset, out=new)
+                new += seen[2 * hidden :]
+                np.tanh(new, out=new)
+                new -= h
+                new *= gates[:hidden]
+                new *= 0.5
+                h += new
+                if CONTEXT <= t < CONTEXT + core:
+                    scores[t - CONTEXT] += out @ h
+        scores -= scores.max(1, keepdims=True)
+        return scores - np.log(np.exp(scores).sum(1, keepdims=True))
+
+    def _states(self, x: np.ndarray, way: int):
+        """States (T, n, H) after each byte of x (T, n), in the reading order of this way, and what went into them."""
+        steps, n = x.shape
         hidden, table, inner = self.h, self.table[way], self.inner[way]
         h = np.zeros((n, hidden), np.float32)
         states = np.empty((steps, n, hidden), np.float32)
         trace = []
         for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
-            given = table[x[:, t]]
+            given = table[x[t]]
             gates = 0.5 + 0.5 * np.tanh(0.5 * (given[:, : 2 * hidden] + h @ inner[:, : 2 * hidden]))
             z, r = gates[:, :hidden], gates[:, hidden:]
             reset = r * h
@@ -87,80 +135,91 @@ class Network:
             before = h
             h = before + z * (new - before)
             states[t] = h
-            if keep:
-                trace.append((t, before, z, r, reset, new))
+            trace.append((t, before, z, r, reset, new))
         return states, trace
 
-    def label(self, x: np.ndarray) -> np.ndarray:
-        """Log probabilities (T, n, L) of every byte."""
-        scores = sum(self._states(x, way, False)[0] @ self.out[way] for way in (0, 1)) + self.bias
-        scores -= scores.max(-1, keepdims=True)
-        return scores - np.log(np.exp(scores).sum(-1, keepdims=True))
-
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """The mean loss over all bytes of x (n, T) with labels y (n), and its gradients, through time."""
-        n, steps = x.shape
-        both = [self._states(x, way, True) for way in (0, 1)]
+    def gradients(self, x: np.ndarray, y: np.ndarray, counted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean loss over the counted bytes (T, n) of x (T, n) with labels y (n), and its gradients, through time."""
+        steps, n = x.shape
+        both = [self._states(x, way) for way in (0, 1)]
         scores = sum(both[way][0] @ self.out[way] for way in (0, 1)) + self.bias
         scores -= scores.max(-1, keepdims=True)
         p = np.exp(scores)
         p /= p.sum(-1, keepdims=True)
-        loss = -float(np.log(p[:, np.arange(n), y] + 1e-9).mean())
+        many = max(int(counted.sum()), 1)
+        loss = -float((np.log(p[:, np.arange(n), y] + 1e-9) * counted).sum() / many)
         p[:, np.arange(n), y] -= 1
-        p /= n * steps
+        p *= counted[..., None] / np.float32(many)
         g = {k: np.zeros_like(getattr(self, k)) for k in NAMES}
         g["bias"] = p.sum((0, 1))
         hidden = self.h
+        order = np.argsort(x, axis=None, kind="stable")
+        values = x.ravel()[order]
+        firsts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         for way in (0, 1):
             states, trace = both[way]
             g["out"][way] = np.tensordot(states, p, ((0, 1), (0, 1)))
             inner = self.inner[way]
             carried = np.zeros((n, hidden), np.float32)
+            moved = np.empty((steps, n, 3 * hidden), np.float32)
+            back = p @ self.out[way].T
             for t, before, z, r, reset, new in reversed(trace):
-                d = carried + p[t] @ self.out[way].T
+                d = carried + back[t]
                 d_new = d * z * (1 - new * new)
                 d_reset = d_new @ inner[:, 2 * hidden :].T
-                d_z = d * (new - before) * z * (1 - z)
-                d_r = d_reset * before * r * (1 - r)
-                gates = np.concatenate([d_z, d_r], 1)
+                gates = moved[t, :, : 2 * hidden]
+                gates[:, :hidden] = d * (new - before) * z * (1 - z)
+                gates[:, hidden:] = d_reset * before * r * (1 - r)
+                moved[t, :, 2 * hidden :] = d_new
                 carried = d * (1 - z) + d_reset * r + gates @ inner[:, : 2 * hidden].T
-                g["inner"][way][:, : 2 * hidden] += before.T @ gates
-                g["inner"][way][:, 2 * hidden :] += reset.T @ d_new
-                which = (x[:, t, None] == np.arange(256)).astype(np.float32)
-                g["table"][way] += which.T @ np.concatenate([gates, d_new], 1)
+            before, reset = np.empty_like(states), np.empty_like(states)
+            for t, b, _, _, r, _ in trace:
+                before[t], reset[t] = b, r
+            g["inner"][way][:, : 2 * hidden] = np.tensordot(before, moved[..., : 2 * hidden], ((0, 1), (0, 1)))
+            g["inner"][way][:, 2 * hidden :] = np.tensordot(reset, moved[..., 2 * hidden :], ((0, 1), (0, 1)))
+            g["table"][way][values[firsts]] = np.add.reduceat(moved.reshape(-1, 3 * hidden)[order], firsts)
         return loss, g
 
 
-def fit(texts: list[str], languages: list[str], hidden: int = 16, pieces: int = 30, epochs: int = 3, batch: int = 256, rate: float = 0.01, seed: int = 5) -> bytes:
-    """A trained network from labelled texts."""
+def fit(rows: Iterator[tuple[pa.Array, list[str]]], hidden: int = 12, steps: int = 240, batch: int = 192, core: int = 32, rate: float = 0.02, seed: int = 5, max_bytes: int = 64 << 20) -> bytes:
+    """A trained network from parts of texts and their languages."""
+    parts, lengths, languages, read = [], [], [], 0
+    for texts, names in rows:
+        for i, name in enumerate(names):
+            if read > max_bytes:
+                break
+            data, offsets = read_bytes(texts.slice(i, 1))
+            part = data[offsets[0] : offsets[1]]
+            if len(part):
+                parts.append(part.copy())
+                lengths.append(len(part))
+                languages.append(name)
+                read += len(part)
     names = sorted(set(languages))
     net = Network(names, hidden)
-    if len(names) and texts:
-        draw = np.random.default_rng(seed)
-        flat, counts = words(pa.array(texts, pa.string()))
-        owner = np.repeat(np.array([names.index(x) for x in languages]), counts)
-        stops = np.cumsum(counts)
-        chosen = np.concatenate([draw.integers(s - c, s, min(pieces, c)) for s, c in zip(stops, counts)]) if len(flat) else np.empty(0, np.int64)
-        data, word, start, length = runs(flat.take(pa.array(chosen)))
-        label = owner[chosen][word]
-        moments = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in NAMES}
-        batches = []
-        for n in np.unique(length):
-            of = draw.permutation(np.flatnonzero(length == n))
-            batches += [of[i : i + batch] for i in range(0, len(of), batch)]
-        step, last = 0, epochs * len(batches)
-        for _ in range(epochs):
-            for i in draw.permutation(len(batches)):
-                of = batches[i]
-                x = data[start[of][:, None] + np.arange(length[of[0]])]
-                _, g = net.gradients(x, label[of])
-                step += 1
-                now = rate * (1 - 0.9 * step / last)
-                for k in NAMES:
-                    m, v = moments[k]
-                    m += 0.1 * (g[k] - m)
-                    v += 0.01 * (g[k] * g[k] - v)
-                    getattr(net, k)[...] -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    if not names:
+        return net.dump()
+    draw = np.random.default_rng(seed)
+    data, stops = np.concatenate(parts), np.cumsum(lengths)
+    starts, known = stops - lengths, np.array([names.index(x) for x in languages])
+    of = [np.flatnonzero(known == k) for k in range(len(names))]
+    moments = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in NAMES}
+    inside = np.arange(-CONTEXT, core + CONTEXT)[:, None]
+    for step in range(1, steps + 1):
+        y = draw.integers(0, len(names), batch)  # languages, then their texts, then places
+        row = np.array([of[k][draw.integers(0, len(of[k]))] for k in y])
+        first = starts[row] + (draw.random(batch) * np.maximum(stops[row] - starts[row] - core // 2, 1)).astype(np.int64)
+        length = np.minimum(core, stops[row] - first)
+        alone = draw.random(batch) < 0.5
+        length = np.where(alone, np.ceil(length * draw.random(batch)).astype(np.int64).clip(1), length)
+        x = windows(data, np.where(alone, first, starts[row]), np.where(alone, first + length, stops[row]), first, core)
+        _, g = net.gradients(x.astype(np.intp), y, ((inside >= 0) & (inside < length)).astype(np.float32))
+        now = rate * min(1, step / 10) * (1 - 0.95 * step / steps)
+        for k in NAMES:
+            m, v = moments[k]
+            m += 0.1 * (g[k] - m)
+            v += 0.01 * (g[k] * g[k] - v)
+            getattr(net, k)[...] -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return net.dump()
 
 
@@ -170,38 +229,36 @@ def _network(name: str) -> Network:
         return Network.load(f.read())
 
 
-def pooled(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of log probabilities and of probabilities over all positions of each text (n, L), and the positions."""
-    flat, counts = words(texts)
-    index, distinct = coded(flat)
-    data, word, start, length = runs(distinct)
-    many = len(net.languages)
-    per_run = np.zeros((2, len(word), many))
+def pooled(net: Network, texts: pa.Array, side: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of log probabilities and of probabilities over all bytes of each text (n, L), and the bytes of each."""
+    data, offsets = read_bytes(texts)
+    size = np.diff(offsets)
+    many = -(-size // CORE)
+    doc = np.repeat(np.arange(len(size)), many)
+    first = offsets[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * CORE
+    length = np.minimum(offsets[1:][doc] - first, CORE)
+    logs, plain = np.zeros((len(size), len(net.languages))), np.zeros((len(size), len(net.languages)))
+    # windows of like lengths side by side
     order = np.argsort(length, kind="stable")
-    ends = np.searchsorted(length[order], np.arange(1, WINDOW + 2))
-    for n in range(1, WINDOW + 1):
-        same = order[ends[n - 1] : ends[n]]
-        for i in range(0, len(same), 2048):
-            of = same[i : i + 2048]
-            got = net.label(data[start[of][:, None] + np.arange(n)])
-            per_run[0, of] = got.sum(0)
-            per_run[1, of] = np.exp(got).sum(0)
-    # words have at least one run, in order
-    logs, plain = np.add.reduceat(per_run, np.searchsorted(word, np.arange(len(distinct))), axis=1) if len(word) else per_run
-    doc = np.repeat(np.arange(len(counts)), counts)
-    size = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(float) if len(distinct) else np.empty(0)
-    by_doc = lambda column: np.bincount(doc, weights=column[index], minlength=len(counts)) if len(index) else np.zeros(len(counts))
-    return (
-        np.stack([by_doc(logs[:, k]) for k in range(many)], 1),
-        np.stack([by_doc(plain[:, k]) for k in range(many)], 1),
-        by_doc(size),
-    )
+    steps = -(-length[order] // 32) * 32
+    cuts = np.flatnonzero(np.diff(steps)) + 1
+    for group in np.split(order, cuts):
+        for i in range(0, len(group), side):
+            of = group[i : i + side]
+            core = int(-(-length[of[-1]] // 32) * 32)
+            got = net.label(windows(data, offsets[:-1][doc[of]], offsets[1:][doc[of]], first[of], core).astype(np.intp))
+            if length[of[0]] < core:
+                got = np.where((np.arange(core)[:, None] < length[of])[:, None], got, -np.inf)
+            there = np.where(np.isfinite(got), got, 0).sum(0, dtype=np.float64) if length[of[0]] < core else got.sum(0, dtype=np.float64)
+            np.add.at(logs, doc[of], there.T)
+            np.add.at(plain, doc[of], np.exp(got).sum(0, dtype=np.float64).T)
+    return logs, plain, size.astype(float)
 
 
 def predict(net: Network, texts: pa.Array) -> pa.StructArray:
     names, chosen = [], []
     lettered = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
-    for part in slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t", 16 << 20) if net.languages else ():
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t", 4 << 20) if net.languages else ():
         logs, plain, n = pooled(net, part.column(0))
         best = logs.argmax(1)
         names.append(np.array(net.languages, object)[best])
@@ -212,37 +269,38 @@ def predict(net: Network, texts: pa.Array) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], ["lang_pred", "score"])
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", max_rows: int = 500, max_chars: int = 200_000, **options) -> bytes:
-    """A network from a bounded sample of the rows of `docs`, about `max_rows` a language; pass only rows that may teach."""
-    chosen, many = _sample(docs, key, text, language, max_rows, max_chars)
-    if not many:
-        return Network([]).dump()
-    rows = chosen.orderBy(F.xxhash64(key), key, text).limit(2 * max_rows * many).toPandas()
-    return fit(rows[text].tolist(), rows[language].tolist(), **options)
+def _sample(docs: DataFrame, key: str, text: str, language: str, max_rows: int, max_languages: int) -> tuple[DataFrame, int]:
+    """(_key, _text, _name) of about `max_rows` rows of each of the commonest languages, by hash of their ids, and how many
+    languages these are."""
+    known = docs.filter(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.col(language).alias("_name"))
+    each = known.groupBy("_name").count().orderBy(F.desc("count"), "_name").limit(max_languages).collect()
+    if not each:
+        return known.limit(0), 0
+    share = F.create_map(*[F.lit(x) for k, n in each for x in (k, int(min(1.0, max_rows / n) * (1 << 30)))])
+    return known.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < share[F.col("_name")]), len(each)
+
 
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", max_rows: int = 500, max_languages: int = 100, **options) -> bytes:
+    """A network from a bounded sample of the rows of `docs`; pass only rows that may teach."""
 
-def _sample(docs: DataFrame, key: str, text: str, language: str, max_rows: int, max_chars: int) -> tuple[DataFrame, int]:
-    """About `max_rows` rows a language, by hash of their ids, and the number of languages."""
-    known = docs.filter(F.col(language).isNotNull() & F.col(text).isNotNull())
-    each = {r[0]: r[1] for r in known.groupBy(language).count().collect()}  # a row a language
-    if not each:
-        return known.select(key, text, language), 0
-    share = F.create_map(*[F.lit(x) for k, n in each.items() for x in (k, int(min(1.0, max_rows / n) * (1 << 30)))])
-    taken = known.filter((F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share[F.col(language)]) & (F.length(text) <= max_chars))
-    return taken.select(key, text, language), len(each)
+    def learn(batches: Iterator[pa.RecordBatch]) -> bytes:
+        return fit(((b.column("_text"), b.column("_name").to_pylist()) for b in batches), **options)
+
+    chosen, many = _sample(docs, key, text, language, max_rows, max_languages)
+    ordered = chosen.orderBy(F.xxhash64("_key"), "_key", "_text", "_name").limit(2 * max_rows * max(many, 1)).select("_text", "_name")
+    return learned(ordered, learn, Network([]).dump())
 
 
-def least_scores(docs: DataFrame, model: bytes, lost: float, key: str = "doc_id", text: str = "text", language: str = "lang", max_rows: int = 2000, max_chars: int = 200_000) -> dict[str, float]:
+def least_scores(docs: DataFrame, model: bytes, lost: float, key: str = "doc_id", text: str = "text", language: str = "lang", max_rows: int = 2000, max_languages: int = 100) -> dict[str, float]:
     """For each learned language the score that a share `lost` of its rows in `docs` is under, from a bounded sample; pass
     only rows that did not teach. It is never under `clearly_above_chance`, also for a language without such rows."""
     languages = Network.load(model).languages
     least = clearly_above_chance(len(languages))
-    chosen, many = _sample(docs, key, text, language, max_rows, max_chars)
     found = {}
-    if many and languages:
-        judged = identify(chosen.select(F.col(text).alias("text"), F.col(language).alias("_truth")), model)
-        right = judged.filter(F.col("lang_pred") == F.col("_truth"))
-        found = {r[0]: r[1] for r in right.groupBy("lang_pred").agg(F.percentile("score", F.lit(lost))).collect()}  # a row a language
+    if languages:
+        chosen, _ = _sample(docs.filter(F.col(language).isin(languages)), key, text, language, max_rows, max_languages)
+        judged = identify(chosen.select(F.col("_text").alias("text"), "_name"), model).filter(F.col("lang_pred") == F.col("_name"))
+        found = {r[0]: r[1] for r in judged.groupBy("lang_pred").agg(F.percentile("score", F.lit(lost))).collect()}  # a row a language
     return {k: max(least, found.get(k, least)) for k in languages}
 
 
@@ -259,5 +317,6 @@ def identify(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     def predicted(texts: pa.Array) -> pa.Array:
         return predict(_network(name), texts)
 
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("lang_pred", "score", "_labelled")]
-    return df.select(*kept, predicted(F.col(f"`{text}`").cast("string")).alias("_labelled")).select(*kept, "_labelled.lang_pred", "_labelled.score")
+    kept = without(df, {"lang_pred", "score", "_labelled"}, text)
+    marked = kept.withColumn("_labelled", predicted(F.col(f"`{text}`").cast("string")))
+    return marked.select(*[F.col(f"`{c}`") for c in kept.columns if c not in ("lang_pred", "score")], "_labelled.lang_pred", "_labelled.score")

@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +19,31 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Python workers import this package too, wherever the driver was started
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in paths.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folder() -> str:
+    """A folder of the driver's own, for files that it serves to executors; gone when the driver ends."""
+    path = os.path.realpath(tempfile.mkdtemp(prefix="gapline-"))
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
+def importable(spark: SparkSession) -> None:
+    """Serves this package to Python workers, which import it wherever they were started."""
+    context = spark.sparkContext
+    if any(os.path.basename(x).startswith("gapline-code") for x in context._python_includes):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(_folder(), "gapline-code.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in os.walk(os.path.join(root, "gapline")):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    context.addPyFile(path)
+
+
 def without(df: DataFrame, names: set[str], *kept: str) -> DataFrame:
     """df without the columns that an operator is about to add under the same names; its own inputs stay."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c in kept or c.lower() not in names])
@@ -48,10 +68,14 @@ def crc_fold(doc_id, modulus: int):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share. Set here only where it is unset (tests)."""
+    """A new folder under spark.checkpoint.dir, which all executors share. Where it is unset, a folder of this machine
+    will do for a local session (tests); on a cluster it is an error."""
+    importable(spark)
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='gapline-')}"
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{_folder()}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/llm-{uuid.uuid4().hex}"
     atexit.register(_gone, spark, path)
@@ -89,18 +113,33 @@ def written(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
 
 def ship(spark: SparkSession, data: bytes, kind: str, max_bytes: int = 1 << 30) -> str:
     """Hands a file of proven size to every executor (each fetches it once) and returns its name for `local_file`."""
+    importable(spark)
     if len(data) > max_bytes:
         raise ValueError(f"{kind}: {len(data)} bytes exceed the bound of {max_bytes} for a file on every executor")
     name = f"{kind}-{hashlib.sha1(data).hexdigest()[:16]}.bin"
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="gapline-"))
-    with open(os.path.join(folder, name), "wb") as out:
-        out.write(data)
     # the name carries the digest of the content, so a file that was added before is the same file
     if not any(str(x).endswith(f"/{name}") for x in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(os.path.join(folder, name))
+        path = os.path.join(_folder(), name)
+        with open(path, "wb") as out:
+            out.write(data)
+        spark.sparkContext.addFile(path)
     return name
 
 
+def learned(rows: DataFrame, learn, least: bytes = b"") -> bytes:
+    """What `learn` makes of the Arrow batches of `rows`, a sample of proven size, in one task of an executor; `least` if
+    there are no rows."""
+    importable(rows.sparkSession)
+
+    def task(batches):
+        out = learn(batches)
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["model"])
+
+    made = rows.mapInArrow(task, "model binary").collect()  # a row a task that had rows
+    return bytes(made[0][0]) if made else least
+
+
 def local_file(name: str) -> str:
     """The path of a shipped file on this executor."""
     return SparkFiles.get(name)
