@@ -12,17 +12,20 @@ be empty) is dealt again under the next hash, as its partner is, and at the last
 link is lost, whatever the data.
 
 A bucket gives links to its smallest member only, not all pairs. They are tested by the Hamming distance of narrower,
-foldable sketches and then exactly, on whole texts. What a bucket still holds of different components after that is
-tested pair by pair, over components only: by the sketches in one task for buckets of up to `large` rows; larger ones are
-first dealt again by the segments of the narrow sketches (pigeonhole once more). Equal sets are one class and are never compared: in a task only the first of them is dealt.
+foldable sketches and then exactly, on whole texts; the texts of a star come to one task, or to several that each have
+its smallest member. What a bucket still holds of different components after that is tested by the sketches, over
+components only: small buckets many to a task, larger ones cut into parts of `large` rows, two of which are compared in
+a task, which gives pairs that the sketches let pass and no others. Equal sets are one class and are never compared; only
+the first of a task's equal sets is dealt (of its last `SEEN` ones), and the others join their class at the end.
 
 The links themselves are counted after that (`links=True`): every link lies within a component, so all pairs of classes of a
 component are intersected exactly, on whole texts. Large components are cut in blocks, and a task takes two of them; it gives
 a sum for each row, never the pairs. Of two classes in a component of two, each links with the other.
 
-Defined results: null, empty and blank texts have no set and link with nothing; a text of fewer words has the one
+Defined results: null, empty and blank texts (also very long blank ones) have no set and link with nothing; a text of fewer words has the one
 sequence of all its words; rows that share an id are nodes of their own (their component is the smallest id reached);
-null ids are never the smallest (all null: null); an empty table gives an empty result. Sets are compared as sets of
+null ids are never the smallest (all null: null);
+extra columns play no part, whatever their names; very long texts are read whole; an empty table gives an empty result. Sets are compared as sets of
 64-bit hashes: within a pair of 10,000 shingles each, a collision has odds of about 1 : 10^11.
 """
 
@@ -40,11 +43,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from .components import components
-from .shared import drop, written
+from .shared import drop, tidied, written
 from .text import coded, mix, slices, words
 
 LEVELS = 4
 TURNS = 4
+SEEN = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,9 +139,21 @@ def folded(data: bytes, size: int) -> np.ndarray:
     return a
 
 
-def distance(a: bytes, b: bytes) -> int:
-    size = min(len(a), len(b))
-    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+def distances(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The Hamming distances of pairs of sketches, each folded to the narrower one of its pair."""
+    widths = [pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+    out = np.zeros(len(a), np.int64)
+    kinds = widths[0] << 32 | widths[1]
+    for kind in np.unique(kinds):
+        of = np.flatnonzero(kinds == kind)
+        pair = [np.frombuffer(b"".join(x.take(pa.array(of)).to_pylist()), np.uint8).reshape(len(of), -1) for x in (a, b)]
+        size = min(x.shape[1] for x in pair)
+        for k in (0, 1):
+            while pair[k].shape[1] > size:
+                half = pair[k].shape[1] // 2
+                pair[k] = pair[k][:, :half] ^ pair[k][:, half:]
+        out[of] = np.bitwise_count(pair[0] ^ pair[1]).sum(1, dtype=np.int64)
+    return out
 
 
 SETS = "node long, id long, mark long, n int, size int, fp1 long, fp2 long, sketch binary, names array<long>"
@@ -151,7 +167,7 @@ def sets(docs: DataFrame, key: str, text: str, size: int, num: int, den: int) ->
         first = TaskContext.get().partitionId() << 33
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 n, fp1, fp2, narrow, blocks, many = [], [], [], [], [], [0]
                 for h in shingles(part.column("text"), size):
                     n.append(len(h))
@@ -161,6 +177,8 @@ def sets(docs: DataFrame, key: str, text: str, size: int, num: int, den: int) ->
                     new = len(h) > 0 and (x, y) not in seen
                     narrow.append(sketch(h) if len(h) else None)
                     if new:
+                        if len(seen) >= SEEN:  # sets that are dealt twice only cost time
+                            seen.clear()
                         seen.add((x, y))
                         blocks.append(names(h, num, den))
                     many.append(many[-1] + (len(blocks[-1]) if new else 0))
@@ -185,61 +203,93 @@ def sets(docs: DataFrame, key: str, text: str, size: int, num: int, den: int) ->
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(t).alias("mark"), t.alias("text")).mapInArrow(made, SETS)
 
 
-def _thinned(rows: DataFrame, hashed, wanted: DataFrame, bits: int = 1 << 22) -> DataFrame:
-    """The rows whose hash is perhaps in `wanted` (one column of hashes), so that a join after it shuffles few others. The
-    filter is a bitmap of a fixed size, whatever the tables' sizes; when it is full it lets all rows pass."""
+def _split(rows: DataFrame, hashed, wanted: DataFrame, bits: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash is perhaps in `wanted` (one column of hashes), and those whose is surely not, so that a join
+    after it shuffles few others. The filter is a bitmap of a fixed size, whatever the tables' sizes; when it is full, all
+    rows are perhaps in `wanted`."""
     place = wanted.select(F.pmod(wanted[0], F.lit(bits)).alias("_p")).select(F.floor(F.col("_p") / 64).alias("_w"), (F.col("_p") % 64).cast("int").alias("_b"))
     words = place.groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_v"))
     every = rows.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("_w"), "left").select("id", F.coalesce("_v", F.lit(0)).alias("_v"))
     bitmap = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "_v"))), lambda x: x["_v"]).alias("_map")).scalar()
-    at = F.pmod(hashed, F.lit(bits))
     word = F.get(bitmap, F.floor(F.col("_at") / 64).cast("int"))
-    return rows.withColumn("_at", at).withColumn("_word", word).filter("shiftrightunsigned(_word, int(_at % 64)) & 1 = 1").drop("_at", "_word")
+    marked = rows.withColumn("_at", F.pmod(hashed, F.lit(bits))).withColumn("_word", word)
+    there = F.expr("shiftrightunsigned(_word, int(_at % 64)) & 1 = 1")
+    return marked.filter(there).drop("_at", "_word"), marked.filter(~there).drop("_at", "_word")
+
+
+def _thinned(rows: DataFrame, hashed, wanted: DataFrame) -> DataFrame:
+    return _split(rows, hashed, wanted)[0]
 
 
 @F.arrow_udf(BooleanType())
 def _near(a: pa.Array, b: pa.Array, most: pa.Array) -> pa.Array:
-    return pa.array([distance(x, y) <= d for x, y, d in zip(a.to_pylist(), b.to_pylist(), most.to_pylist())], pa.bool_())
+    return pa.array(distances(a, b) <= most.to_numpy(zero_copy_only=False), pa.bool_())
+
+
+def _texts(docs: DataFrame, key: str, text: str, wanted: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """(_id, _mark, text) of at least the rows whose mark is in `wanted`, one of those with equal ids and texts. Null ids
+    are 0 here: which of the rows with the same text it is makes no difference."""
+    t = F.col(f"`{text}`").cast("string")
+    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0)).alias("_id"), F.xxhash64(t).alias("_mark"), t.alias("text"))
+    rows = _thinned(rows, F.col("_mark"), wanted)
+    if repeated is None:
+        return rows
+    return rows.join(repeated, ["_id", "_mark"], "left_anti").union(rows.join(repeated, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]))
+
 
+def _packed(small, number, packs: int, *large):
+    """The number of a task's share: small ones by the hash of `number`, `packs` in all, others each alone."""
+    return F.when(small, F.pmod(F.xxhash64(number), F.lit(packs))).otherwise(F.xxhash64(number, *large))
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link: by sketches first, then exactly on whole texts."""
-    one = nodes.select("node", "n", "fp1", "fp2", "sketch")
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts, size: int, num: int, den: int, most: int = 4 << 20) -> DataFrame:
+    """The pairs (a, b) of nodes that link: by sketches first, then exactly on whole texts. A task has some of the stars,
+    the texts of about `most` bytes; a larger star is dealt to several tasks that each have its b."""
+    spark = nodes.sparkSession
+    one = nodes.select("node", "id", "mark", "size", "n", "fp1", "fp2", "sketch")
     left = one.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in one.columns[1:]])
     right = one.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in one.columns[1:]])
     sum_n = F.col("n_a") + F.col("n_b")
-    near = (
+    near, near_path = written(
         pairs.join(left, "a").join(right, "b")
         .filter((F.col("fp1_a") != F.col("fp1_b")) | (F.col("fp2_a") != F.col("fp2_b")))
         .filter((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
         .filter(_near("sketch_a", "sketch_b", F.floor(sum_n * (den - num) / (den + num)).cast("int")))
-        .select("a", "b")
+        .select("a", "b", *[f"{c}_{x}" for x in "ab" for c in ("id", "mark", "size")])
     )
-    near, near_path = written(near)
-    needed = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(nodes.select("node", "id", "mark"), "node")
-    t = F.col(f"`{text}`").cast("string")
-    whole = _thinned(docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(t).alias("mark"), t.alias("text")), F.col("mark"), needed.select("mark"))
-    # rows with the same id and text are the same here: one of them is enough
-    found = needed.select("node", F.col("id").alias("_id"), F.col("mark").alias("_mark")).join(
-        whole, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
-    ).select("node", "text")
-    texts, texts_path = written(found.dropDuplicates(["node"]))
-    both = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
+    stars, stars_path = written(
+        near.groupBy("b").agg(F.ceil(F.sum("size_a") / most).alias("_cuts"), F.sum("size_a").alias("_bytes"), F.min("id_b").alias("id"), F.min("mark_b").alias("mark"))
     )
-
-    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text_a", 4 << 20):
-                keep = []
-                for x, y in zip(shingles(part.column("text_a"), size), shingles(part.column("text_b"), size)):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(den * common >= num * (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    links, links_path = written(both.select("a", "b", "text_a", "text_b").mapInArrow(tested, "a long, b long"))
-    drop(docs.sparkSession, near_path)
-    drop(docs.sparkSession, texts_path)
+    packs = 1 + (stars.filter("_cuts <= 1").agg(F.sum("_bytes")).first()[0] or 0) // most
+    part = F.pmod(F.xxhash64("a"), F.greatest("_cuts", F.lit(1)))
+    pack = _packed(F.col("_cuts") <= 1, F.col("b"), packs, F.col("_part"))
+    ours = near.select("a", "b", "id_a", "mark_a").join(stars.select("b", "_cuts"), "b").withColumn("_part", part).select(pack.alias("pack"), "b", F.col("a").alias("node"), F.col("id_a").alias("_id"), F.col("mark_a").alias("_mark"))
+    theirs = stars.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("_cuts", F.lit(1)) - 1))).select(pack.alias("pack"), "b", F.col("b").alias("node"), F.col("id").alias("_id"), F.col("mark").alias("_mark"))
+    asked = ours.union(theirs).withColumn("_id", F.coalesce("_id", F.lit(0)))
+    shown = asked.join(texts(near.select("mark_a").union(stars.select("mark"))), ["_id", "_mark"]).select("pack", "b", "node", "text")
+
+    def tested(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("b", "ascending"), ("node", "ascending")]).combine_chunks()
+        b, node = rows.column("b").to_numpy(), rows.column("node").to_numpy()
+        found, star, against = [], None, None
+        for part in slices(rows.select(["text"]).combine_chunks().to_batches(max_chunksize=len(node))[0], "text", 4 << 20):
+            for h in shingles(part.column("text"), size):
+                i = len(found)
+                if b[i] == node[i]:  # the smallest node of a star comes first
+                    star, against = b[i], h
+                    found.append(False)
+                    continue
+                if star != b[i]:
+                    found.append(False)
+                    continue
+                common = int((against[np.minimum(np.searchsorted(against, h), len(against) - 1)] == h).sum())
+                found.append(den * common >= num * (len(h) + len(against) - common))
+        keep = np.array(found, bool)
+        return pa.table({"a": node[keep], "b": b[keep]})
+
+    links, _ = written(shown.groupBy("pack").applyInArrow(tested, "a long, b long"))
+    drop(spark, near_path)
+    drop(spark, stars_path)
     return links
 
 
@@ -247,14 +297,24 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
     """A row for each row of docs: node, id, mark, n_shingles, component_id (the smallest id reached), first (whether the
     node stands for its component: it has the smallest id, and of those the smallest number). With `links` also n_links, the
     number of other rows that the row links with; rows with an equal set count each."""
-    with_links = links
-    every, _ = written(sets(docs, key, text, size, num, den))
-    # equal sets are a class
-    classes = every.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("node").alias("b"), F.count("*").alias("_k")).filter("_k > 1")
-    same = every.filter("n > 0").join(classes, ["fp1", "fp2", "n"]).filter("node <> b").select(F.col("node").alias("a"), "b")
-
+    return tidied(docs.sparkSession, lambda: _joined(docs, key, text, size, num, den, large, links, block))[0]
+
+
+def _joined(docs: DataFrame, key: str, text: str, size: int, num: int, den: int, large: int, links: bool, block: int) -> DataFrame:
+    spark = docs.sparkSession
+    kept = lambda df: written(df)[0]
+    every, every_path = written(sets(docs, key, text, size, num, den))
+    # equal sets are a class; the smallest node stands for it
+    classes = kept(every.filter("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("node").alias("b"), F.count("*").alias("_k")).filter("_k > 1"))
+    again = kept(every.groupBy(F.coalesce("id", F.lit(0)).alias("_id"), F.col("mark").alias("_mark")).count().filter("count > 1").select("_id", "_mark"))
+    repeated = None if again.isEmpty() else again
+    texts = lambda wanted: _texts(docs, key, text, wanted, repeated)
+
+    # a class is dealt once, though several tasks have named its blocks
+    also = kept(every.filter("size(names) > 0").select("node", "fp1", "fp2", "n").join(classes, ["fp1", "fp2", "n"]).filter("node <> b").select("node"))
+    perhaps, others = _split(every.filter("size(names) > 0").select("node", "names"), F.xxhash64("node"), also.select(F.xxhash64("node")))
+    dealt = others.union(perhaps.join(also, "node", "left_anti")).select("node", F.explode("names").alias("name"))
     by_name = Window.partitionBy("name")
-    dealt = every.select("node", F.explode("names").alias("name"))
     met, met_paths = None, []
     for turn in range(TURNS):  # buckets are apart by name: the shuffle files of one turn are gone before the next
         some = dealt.filter(F.pmod("name", F.lit(TURNS)) == turn)
@@ -263,60 +323,75 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
         some = some.filter("many > 1").select(F.xxhash64("hub", "many", "_all").alias("name"), "node", "hub", "many").distinct()
         some, path = written(some)
         met, met_paths = some if met is None else met.union(some), [*met_paths, path]
-    met, met_path = written(met.distinct())
+    met = kept(met.distinct())
     for path in met_paths:
-        drop(docs.sparkSession, path)
+        drop(spark, path)
     who = met.select("node").distinct()
-    few = _thinned(every.drop("names"), F.xxhash64("node"), who.select(F.xxhash64("node")))
-    faces, _ = written(few.join(who, "node", "left_semi"))
-    stars, _ = written(met.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    links = same.union(_verified(stars, faces, docs, key, text, size, num, den))
-    links, _ = written(links)
-    found, _ = written(components(links))
+    faces = kept(_thinned(every.drop("names"), F.xxhash64("node"), who.select(F.xxhash64("node"))).join(who, "node", "left_semi"))
+    base = kept(every.drop("names", "sketch"))
+    drop(spark, every_path)
+    tested = kept(met.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    found = kept(components(_verified(tested, faces, texts, size, num, den)))
 
     # buckets of three and more that still hold several components: one round tests the nearest such row of each
     # row, which joins most of them, the other one whatever is left
-    tested, left = stars, met.filter("many > 2").select("name", "node")
+    left = met.filter("many > 2").select("name", "node")
     for nearest in (True, False):
         placed = left.select("name", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        held = placed.groupBy("name").agg(F.min("component").alias("_x"), F.max("component").alias("_y"), F.count("*").alias("many"))
+        held = placed.groupBy("name").agg(F.min("component").alias("_x"), F.max("component").alias("_y"))
         # components only grow: buckets that hold one stay closed
-        left, _ = written(placed.join(held.filter("_x <> _y").select("name", "many"), "name"))
+        left = kept(placed.join(held.filter("_x <> _y").select("name"), "name"))
         if left.isEmpty():
             break
-        # a task takes many buckets at a time
-        packs = F.pmod(F.xxhash64("name"), F.lit(1 + left.count() // 20000))
-        shown = left.join(faces.select("node", "n", "sketch"), "node")
-        rest = (
-            shown.filter(F.col("many") <= large).select(packs.alias("pack"), "name", "node", "component", "n", "sketch")
-            .groupBy("pack").applyInArrow(_across(num, den, nearest), "a long, b long")
-        )
-        rest, _ = written(rest.union(_met_again(_segments(shown.filter(F.col("many") > large), num, den))).distinct().join(tested, ["a", "b"], "left_anti"))
+        rest = kept(_compared(left, faces, num, den, nearest, large).join(tested, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            links = links.union(_verified(rest, faces, docs, key, text, size, num, den))
-            found, _ = written(components(links))
+            more = _verified(rest, faces, texts, size, num, den)
+            found = kept(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
             tested = tested.union(rest)
-    drop(docs.sparkSession, met_path)
 
-    rows = every.select("node", "id", "mark", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("_null"), "id", "node")).alias("_m"))
+    # every row goes to its class, the class to its component; what is joined to is written, so that large ones are split
+    rep = base.join(classes.drop("_k"), ["fp1", "fp2", "n"], "left").withColumn("rep", F.coalesce("b", "node"))
+    placed = rep.select("node", "id", "mark", "n", "size", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = kept(placed.withColumns({"linked": F.col("component").isNotNull(), "component": F.coalesce("component", "rep")}))
+    least = kept(rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("_null"), "id", "node")).alias("_m")))
     out = rows.join(least, "component").select(
-        "node", "id", "mark", F.col("n").cast("long").alias("n_shingles"), F.col("_m.id").alias("component_id"), (F.col("node") == F.col("_m.node")).alias("first")
+        "node", "rep", "id", "mark", F.col("n").cast("long").alias("n_shingles"), F.col("_m.id").alias("component_id"), (F.col("node") == F.col("_m.node")).alias("first")
+    )
+    if links:
+        weights = classes.select(F.col("b").alias("node"), "_k")
+        members = rows.filter("linked and node = rep").select("node", "id", "mark", "size", "component")
+        members = kept(members.join(weights, "node", "left").withColumn("weight", F.coalesce("_k", F.lit(1))).drop("_k"))
+        sums = _counted(members, texts, size, num, den, block)
+        n_links = (F.coalesce("links", F.lit(0)) + F.coalesce("_k", F.lit(1)) - 1).alias("n_links")
+        counts = kept(weights.join(sums, "node", "full").select(F.col("node").alias("rep"), n_links))
+        out = out.join(counts, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    return out.drop("rep")
+
+
+def _compared(rows: DataFrame, faces: DataFrame, num: int, den: int, nearest: bool, large: int, most: int = 8 << 20) -> DataFrame:
+    """Pairs (a, b), a > b, of rows (name, node, component) in a bucket and different components whose sketches are near
+    enough. A task takes many small buckets; of a larger one two parts."""
+    spark = rows.sparkSession
+    shown, path = written(rows.join(faces.select("node", "n", "sketch"), "node"))
+    cuts = F.greatest(F.ceil(F.count("*") / large), F.ceil(F.sum(F.length("sketch")) / most))
+    sized, sized_path = written(shown.groupBy("name").agg(cuts.alias("_cuts"), F.sum(F.length("sketch")).alias("_bytes")))
+    packs = 1 + (sized.filter("_cuts = 1").agg(F.sum("_bytes")).first()[0] or 0) // most
+    dealt = shown.join(sized.drop("_bytes"), "name").withColumn("part", F.pmod(F.xxhash64("node"), F.col("_cuts")))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1)))
+    low, high = F.least("part", "_other"), F.greatest("part", "_other")
+    dealt = dealt.select(
+        _packed(F.col("_cuts") == 1, F.col("name"), packs, low, high).alias("pack"), "name", low.alias("low"), high.alias("high"), "part", "node", "component", "n", "sketch"
     )
-    if not with_links:
-        return out
-    weights = classes.select("b", "_k")
-    first = every.select("node", "id", "mark", "size").join(same.select(F.col("a").alias("node")), "node", "left_anti")
-    members = first.join(found, "node").join(weights.withColumnRenamed("b", "node"), "node", "left").withColumn("weight", F.coalesce("_k", F.lit(1))).drop("_k")
-    sums, _ = written(_counted(written(members)[0], docs, key, text, size, num, den, block))
-    of_class = weights.join(sums.withColumnRenamed("node", "b"), "b", "full").select("b", (F.coalesce("links", F.lit(0)) + F.coalesce("_k", F.lit(1)) - 1).alias("n_links"))
-    of_row = every.select("node").join(same.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("b")).join(of_class, "b")
-    return out.join(of_row.select("node", "n_links"), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
-
-
-def _counted(members: DataFrame, docs: DataFrame, key: str, text: str, size: int, num: int, den: int, block: int, most: int = 8 << 20) -> DataFrame:
+    out, _ = written(dealt.groupBy("pack").applyInArrow(_across(num, den, nearest), "a long, b long").distinct())
+    drop(spark, path)
+    drop(spark, sized_path)
+    return out
+
+
+def _counted(members: DataFrame, texts, size: int, num: int, den: int, block: int, most: int = 8 << 20) -> DataFrame:
     """(node, links): the weights of the other classes that each class (node, id, mark, size, component, weight) links with."""
-    held = members.groupBy("component").agg(F.count("*").alias("_many"), F.sum("size").alias("_bytes"), F.sum("weight").alias("_all")).filter("_many > 1")
+    spark = members.sparkSession
+    held, held_path = written(members.groupBy("component").agg(F.count("*").alias("_many"), F.sum("size").alias("_bytes"), F.sum("weight").alias("_all")).filter("_many > 1"))
     placed, path = written(members.join(held, "component"))
     of_two = placed.filter("_many = 2").select("node", (F.col("_all") - F.col("weight")).alias("links"))
     cuts = F.greatest(F.ceil(F.col("_many") / block), F.ceil(F.col("_bytes") / most))
@@ -324,20 +399,16 @@ def _counted(members: DataFrame, docs: DataFrame, key: str, text: str, size: int
     other = more.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1)))
     # many small components go to one call; of a large one, two blocks do
     packs = 1 + (more.filter("_cuts = 1").agg(F.sum("size")).first()[0] or 0) // most
+    low, high = F.least("_part", "_other"), F.greatest("_part", "_other")
     dealt = other.select(
-        "node", "weight", "component", "_part", F.coalesce("id", F.lit(0)).alias("_id"), F.col("mark").alias("_mark"),
-        F.least("_part", "_other").alias("low"), F.greatest("_part", "_other").alias("high"),
-        F.when(F.col("_cuts") == 1, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.xxhash64("component", F.least("_part", "_other"), F.greatest("_part", "_other"))).alias("pack"),
+        "node", "weight", "component", "_part", F.coalesce("id", F.lit(0)).alias("_id"), F.col("mark").alias("_mark"), low.alias("low"), high.alias("high"),
+        _packed(F.col("_cuts") == 1, F.col("component"), packs, low, high).alias("pack"),
     )
-    t = F.col(f"`{text}`").cast("string")
-    every = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0)).alias("_id"), F.xxhash64(t).alias("_mark"), t.alias("text"))
-    # rows with the same mark and id have the same text: one of them is enough
-    whole = _thinned(every, F.col("_mark"), more.select("mark")).dropDuplicates(["_id", "_mark"])
-    shown = dealt.join(whole, ["_id", "_mark"]).select("pack", "component", "low", "high", "_part", "node", "weight", "text")
+    shown = dealt.join(texts(more.select("mark")), ["_id", "_mark"]).select("pack", "component", "low", "high", "_part", "node", "weight", "text")
     counts, counts_path = written(shown.groupBy("pack").applyInArrow(_within(size, num, den), "node long, links long"))
     out, _ = written(counts.groupBy("node").agg(F.sum("links").alias("links")).union(of_two))
-    drop(docs.sparkSession, path)
-    drop(docs.sparkSession, counts_path)
+    for used in (held_path, path, counts_path):
+        drop(spark, used)
     return out
 
 
@@ -385,78 +456,60 @@ def _within(size: int, num: int, den: int, columns: int = 4096):
 
 def _across(num: int, den: int, nearest: bool):
     """Pairs a > b of rows of a bucket in different components whose sketches are near enough, or for each row
-    the nearest such; several buckets a call."""
+    the nearest such: of one part of the bucket (low = high) or of two; several buckets a call."""
 
     def near(rows: pa.Table) -> pa.Table:
-        name, component, node, n = (rows.column(c).to_numpy() for c in ("name", "component", "node", "n"))
-        order = np.lexsort((component, name))
-        name, component, node, n = name[order], component[order], node[order], n[order]
+        name, low, high, part, component, node, n = (rows.column(c).to_numpy() for c in ("name", "low", "high", "part", "component", "node", "n"))
+        order = np.lexsort((component, part, high, low, name))
+        name, low, high, part, component, node, n = (x[order] for x in (name, low, high, part, component, node, n))
         raw = rows.column("sketch").take(pa.array(order)).to_pylist()
         left, right = [], []
-        new = np.concatenate([[True], name[1:] != name[:-1]])
-        buckets = np.flatnonzero(new).tolist()
-        after = np.flatnonzero(np.concatenate([(name[1:] != name[:-1]) | (component[1:] != component[:-1]), [True]])) + 1
-        next_component = np.repeat(after, np.diff(after, prepend=0))
-        for start, stop in zip(buckets, [*buckets[1:], len(node)]):
+        starts = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])).tolist()
+        for start, stop in zip(starts, [*starts[1:], len(node)]):
             size = min(map(len, raw[start:stop]))
             narrow = np.stack([folded(x, size) for x in raw[start:stop]]).view(np.uint64)
-            for i in range(start, stop):
-                other = int(next_component[i])
-                if other >= stop:
-                    break
-                far = np.bitwise_count(narrow[other - start :] ^ narrow[i - start]).sum(1, dtype=np.int64)
-                j = other + np.flatnonzero((den + num) * far <= (den - num) * (n[other:stop] + n[i]))
+            group, sizes, first = component[start:stop], n[start:stop], part[start:stop] == low[start]
+            two = low[start] < high[start]
+            for i in range(int(first.sum())):
+                # rows of the other part, or of one part those of the components after this one
+                begin = int(first.sum()) if two else int(np.searchsorted(group, group[i], "right"))
+                if begin >= stop - start:
+                    continue
+                far = np.bitwise_count(narrow[begin:] ^ narrow[i]).sum(1, dtype=np.int64)
+                j = np.flatnonzero(((den + num) * far <= (den - num) * (sizes[begin:] + sizes[i])) & (group[begin:] != group[i]))
                 if len(j):
                     if nearest:
-                        j = j[[far[j - other].argmin()]]
-                    left.append(np.maximum(node[i], node[j]))
-                    right.append(np.minimum(node[i], node[j]))
+                        j = j[[far[j].argmin()]]
+                    other = node[start + begin + j]
+                    left.append(np.maximum(node[start + i], other))
+                    right.append(np.minimum(node[start + i], other))
         none = np.empty(0, np.int64)
         return pa.table({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])})
 
     return near
 
 
-def _met_again(rows: DataFrame) -> DataFrame:
-    """Pairs a > b of rows (name, node, component) that share a name and not a component."""
-    other = rows.select("name", F.col("node").alias("b"), F.col("component").alias("_c"))
-    return rows.join(other, "name").filter((F.col("node") > F.col("b")) & (F.col("component") != F.col("_c"))).select(F.col("node").alias("a"), "b")
-
-
-def _segments(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Deals the rows of large buckets again: pairs that link differ in D bits at most, so of D + 1 segments of sketches,
-    folded to the narrowest of the bucket, one is equal."""
-    bucket = Window.partitionBy("name")
-    sized = rows.withColumns({"_top": F.max("n").over(bucket), "_size": F.min(F.length("sketch")).over(bucket)})
-
-    @F.arrow_udf("array<long>")
-    def segments(narrow: pa.Array, top: pa.Array, size: pa.Array) -> pa.Array:
-        out = []
-        for data, n, s in zip(narrow.to_pylist(), top.to_pylist(), size.to_pylist()):
-            bits = np.unpackbits(folded(data, s))
-            many = min(2 * n * (den - num) // (den + num) + 1, len(bits))
-            edges = np.linspace(0, len(bits), many + 1).astype(int)
-            out.append([xxhash.xxh64_intdigest(bits[i:j].tobytes(), k) - (1 << 63) for k, (i, j) in enumerate(zip(edges[:-1], edges[1:]))])
-        return pa.array(out, pa.list_(pa.int64()))
-
-    again = sized.select("name", "node", "component", F.explode(segments("sketch", "_top", "_size")).alias("_s"))
-    return again.select(F.xxhash64("name", "_s").alias("name"), "node", "component")
-
-
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The id, n_shingles, n_links and component_id of every row of docs."""
     return join(docs, key, text, links=True, **options).select(F.col("id").alias(key), "n_shingles", "n_links", "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs that stand for their components, with all their columns."""
+    """The rows of docs that stand for their components, with all their columns; rows without a set all do. Of rows that
+    are equal in id and text, the one whose columns hash least is taken."""
+    def standing() -> DataFrame:
+        per_text = join(docs, key, text, **options).groupBy(F.col("id").alias("_near_id"), F.col("mark").alias("_near_mark"))
+        found = per_text.agg(F.max("first").alias("_near_first"), (F.max("n_shingles") == 0).alias("_near_none"), (F.count("*") > 1).alias("_near_many"))
+        return found.filter("_near_first").drop("_near_first")
+
+    rows, _ = tidied(docs.sparkSession, standing)
     t = F.col(f"`{text}`").cast("string")
-    equal = Window.partitionBy("id", "mark").orderBy("node")
-    kept = join(docs, key, text, **options).filter("first").select(
-        F.col("id").alias("_near_id"), F.col("mark").alias("_near_of"), F.row_number().over(equal).alias("_near_k")
-    )
-    # rows that are equal in id and text are told apart by their number only: as many stay as stand for components
-    again = Window.partitionBy(F.col(f"`{key}`"), "_near_mark").orderBy(F.lit(1))
-    numbered = docs.withColumn("_near_mark", F.xxhash64(t)).withColumn("_near_number", F.row_number().over(again))
-    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_near_id")) & (F.col("_near_mark") == F.col("_near_of")) & (F.col("_near_number") == F.col("_near_k"))
-    return numbered.join(kept, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("_near_id")) & F.xxhash64(t).eqNullSafe(F.col("_near_mark"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(rows.filter("_near_none or not _near_many"), same, "left_semi").select(*columns)
+    many = rows.filter("not _near_none and _near_many")
+    if many.isEmpty():
+        return kept
+    ordered = Window.partitionBy("_near_id", "_near_mark").orderBy(F.xxhash64(*columns))
+    one = docs.join(many, same).withColumn("_near_k", F.row_number().over(ordered)).filter("_near_k = 1").select(*columns)
+    return kept.union(one)

@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark import SparkFiles
@@ -108,9 +109,31 @@ def written(df: DataFrame, codec: str = "zstd") -> tuple[DataFrame, str]:
     finally:
         if before is not None:
             spark.conf.set(cleanup, before)
+    if _SCOPE.get() is not None:
+        _SCOPE.get().append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: The tables written since the innermost `tidied` began.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+def tidied(spark: SparkSession, make) -> tuple[DataFrame, str]:
+    """What `make` returns, as a written table; every other table that was written for it is dropped."""
+    tables: list[str] = []
+    token, path = _SCOPE.set(tables), None
+    try:
+        out, path = written(make())
+    finally:
+        _SCOPE.reset(token)
+        for used in tables:
+            if used != path:
+                drop(spark, used)
+    if _SCOPE.get() is not None:
+        _SCOPE.get().append(path)
+    return out, path
+
+
 def ship(spark: SparkSession, data: bytes, kind: str, max_bytes: int = 1 << 30) -> str:
     """Hands a file of proven size to every executor (each fetches it once) and returns its name for `local_file`."""
     importable(spark)
