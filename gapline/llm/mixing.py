@@ -4,19 +4,22 @@ Each source's words, document after document, are packed into blocks of `block`
 shards. Every shard draws how many slots each source gets: the whole part of its expected number, and the rest of the
 shard's slots by a multinomial draw over the fractional parts, so that totals stay within a few slots of the targets.
 The j-th slot of a source takes block `perm(j mod n)` of its n blocks, with a pseudorandom permutation for each pass
-j div n; slots and blocks are then joined by index. A source is passed `max_passes` times at most, so no document is
-taken more often.
+j div n; slots and blocks are then joined by index. A source is passed `cap` times at most (rounded up), so no document
+is taken more often.
 
 All draws are hashes of fixed numbers: reruns agree, whatever the partitioning.
 
-Defined results: a null source is a source of its own, the last; null and empty texts have size 0 and are never taken;
-rows that share an id are blocks of their own and their words count each; an empty table gives an empty result. Only
-sizes and offsets are shuffled, never texts. Words are placed by two running sums: over the rows of a range of hashed
-ids, and over the ranges of a source (one row for thousands of documents).
+Words and slots are placed by running sums in steps: within a range of rows, over the ranges of a group and over the
+groups of a source, so that no task has a source's rows. Only what is one row a source (targets) is done in one task.
+
+Defined results: a null source is a source of its own, the last; null, empty and blank texts have size 0 and are never
+taken; very long texts span many blocks; rows that share an id are rows of their own and their words count each; columns
+named like a result are replaced; an empty table gives an empty result. Only sizes and offsets are shuffled, never texts.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .shared import without, word_count, written
 
-#: Rows of a range, in the mean.
-RANGE_ROWS = 4096
+#: Rows of a range, in the mean, and ranges of a group.
+RANGE_ROWS, GROUP_RANGES = 512, 4096
+#: Rounds of a permutation, two to four for each halving of what a round leaves in order.
+ROUNDS = 24
 
 
 @dataclass(frozen=True)
@@ -62,30 +67,36 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: flo
 
 
 def _permuted(position: Column, n: Column, *key) -> Column:
-    """A pseudorandom permutation of 0..n-1: four rounds that add a keyed hash of the one digit to the other, in mixed
-    radix (a x b >= n), walked on while the result is not below n."""
-    side = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-
-    def once(x: Column) -> Column:
-        high, low = F.floor(x / side).cast("long"), x % side
-        for r in range(4):
-            if r % 2:
-                high = F.pmod(high + F.pmod(F.xxhash64(low, F.lit(r), *key), side), side)
-            else:
-                low = F.pmod(low + F.pmod(F.xxhash64(high, F.lit(r), *key), side), side)
-        return high * side + low
-
-    # side**2 < n + 2 sqrt(n) + 1, so few positions walk; the walk always ends, at the position itself at the latest
-    steps = F.sequence(F.lit(1), F.lit(64))
-    start = F.struct(once(position).alias("x"))
-    walked = F.aggregate(steps, start, lambda acc, _: F.when(acc["x"] < n, acc).otherwise(F.struct(once(acc["x"]).alias("x"))))
-    return walked["x"]
+    """A pseudorandom permutation of 0..n-1, whatever n is, by swap-or-not rounds: each pairs x with k - x (modulo n), for a
+    keyed k, and swaps the two or not by a keyed hash of the larger one."""
+
+    def turn(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(r, *key), n) - x, n)
+        swaps = F.xxhash64(F.greatest(x, other), r, *key) % 2 == 0
+        return F.when(swaps, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), position.cast("long"), turn)
+
+
+def _before(rows: DataFrame, value: str, source: str, part: str, order: list, name: str) -> DataFrame:
+    """Adds the sum of `value` over the rows of the same source before each row: by `part`, a number, then by `order`."""
+    group = F.floor(F.col(part) / GROUP_RANGES).alias("_g")
+    sums = rows.groupBy(F.col(source).alias("_s"), F.col(part).alias("_p"), group).agg(F.sum(value).alias("_v"))
+    groups = sums.groupBy("_s", "_g").agg(F.sum("_v").alias("_gv"))
+    up_to = lambda by, key: Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("_s", "_g", F.coalesce(F.sum("_gv").over(up_to(["_s"], "_g")), F.lit(0)).alias("_gbase"))
+    sums = sums.select("_s", "_p", "_g", F.coalesce(F.sum("_v").over(up_to(["_s", "_g"], "_p")), F.lit(0)).alias("_pbase"))
+    bases = sums.alias("a").join(groups.alias("b"), F.expr("a._s <=> b._s and a._g = b._g")).select("a._s", "a._p", (F.col("_pbase") + F.col("_gbase")).alias("_base"))
+    inside = Window.partitionBy(source, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    placed = placed.join(bases, F.col("_s").eqNullSafe(F.col(source)) & (F.col("_p") == F.col(part)))
+    return placed.withColumn(name, F.col("_base") + F.col("_inside")).drop("_s", "_p", "_base", "_inside")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 256, shard_slots: int = 4096, seed: int = 0) -> Mix:
     """The sizes and targets of the rows of `docs`, and the pieces that the mix takes of them."""
     spark = docs.sparkSession
-    max_passes = int(cap)
+    max_passes = math.ceil(cap)
     docs = without(docs, {"size", "source_size", "target", "taken", "_source", "_key", "_row", "_range", "_s", "_r"}, key, text, source)
     row = docs.withColumns(
         {
@@ -106,15 +117,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     per_source = per_source.withColumn("_want", F.col("target") * F.col("blocks") / F.nullif(F.col("source_size"), F.lit(0)))
     per_source, _ = written(per_source)
 
-    # places of words: range after range, in a range row after row; the order is one of hashed ids and texts, not of files
-    earlier = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_range.select(
-        F.col("_source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_base")
-    )
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", F.col(f"`{key}`"), "_row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.filter("size > 0").withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
-        starts, F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_r") == F.col("_range"))
-    ).withColumn("_at", F.col("_base") + F.col("_before"))
+    # places of words: the order is one of hashed ids and texts, not of files
+    placed = _before(sized.filter("size > 0"), "size", "_source", "_range", ["_key", F.col(f"`{key}`"), "_row"], "_at")
     parts = placed.select(
         "_row", "_source", "_at", "size",
         F.explode(F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("size") - 1) / block))).alias("block"),
@@ -154,10 +158,11 @@ def _slots(spark, per_source: DataFrame, shard_slots: int, max_passes: int, seed
     uniform = F.transform(F.sequence(F.lit(1), F.greatest(draws, F.lit(1))), lambda k: _unit(k, F.col("shard"), F.lit(seed)) * F.col("_parts"))
     drawn = F.when(draws > 0, F.size(F.filter(uniform, lambda u: (u >= F.col("_to") - F.col("_part")) & (u < F.col("_to"))))).otherwise(0)
     counted = dealt.withColumn("_count", F.col("_whole") + drawn)
-    earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.withColumn("_first", F.coalesce(F.sum("_count").over(earlier), F.lit(0))).withColumn(
+    counted = _before(counted.withColumn("_range", F.floor(F.col("shard") / RANGE_ROWS)), "_count", "source", "_range", ["shard"], "_first").withColumn(
         "_count", F.least(F.col("_count"), F.greatest(F.col("blocks") * max_passes - F.col("_first"), F.lit(0)))
     ).filter("_count > 0")
+    # shards come from a few rows of sources: without this one task would have them all
+    counted = counted.select("source", "blocks", "shard", "_first", "_count").repartition(F.col("shard"), F.col("source"))
     slots = counted.select(
         "source", "blocks", "shard", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_count") - 1)).alias("slot")
     ).withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("long"))

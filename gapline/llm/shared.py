@@ -57,10 +57,9 @@ def lower_ascii(column):
 
 def word_count(text):
     """Number of words `[^\\x20\\x09-\\x0D]+`, as long; 0 for null."""
-    spaced = F.trim(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", " "))
-    return F.when(
-        F.length(spaced) > 0, F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1
-    ).otherwise(0).cast("long")
+    # each word becomes one character, with the white space after it
+    marks = F.regexp_replace(F.ltrim(text, F.lit(" \t\n\x0b\x0c\r")), "[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+", "x")
+    return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
 def crc_fold(doc_id, modulus: int):
