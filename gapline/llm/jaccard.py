@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from .components import components
-from .shared import drop, tidied, written
+from .shared import drop, lean, tidied, written
 from .text import coded, mix, slices, words
 
 LEVELS = 4
@@ -200,7 +200,7 @@ def sets(docs: DataFrame, key: str, text: str, size: int, num: int, den: int) ->
                 first += len(n)
 
     t = F.col(f"`{text}`").cast("string")
-    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(t).alias("mark"), t.alias("text")).mapInArrow(made, SETS)
+    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(t).alias("mark"), t.alias("text")).mapInArrow(lean(made), SETS)
 
 
 def _split(rows: DataFrame, hashed, wanted: DataFrame, bits: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
@@ -287,7 +287,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts, size: int, num: int, de
         keep = np.array(found, bool)
         return pa.table({"a": node[keep], "b": b[keep]})
 
-    links, _ = written(shown.groupBy("pack").applyInArrow(tested, "a long, b long"))
+    links, _ = written(shown.groupBy("pack").applyInArrow(lean(tested), "a long, b long"))
     drop(spark, near_path)
     drop(spark, stars_path)
     return links
@@ -313,11 +313,11 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, num: int, den: int,
     # a class is dealt once, though several tasks have named its blocks
     also = kept(every.filter("size(names) > 0").select("node", "fp1", "fp2", "n").join(classes, ["fp1", "fp2", "n"]).filter("node <> b").select("node"))
     perhaps, others = _split(every.filter("size(names) > 0").select("node", "names"), F.xxhash64("node"), also.select(F.xxhash64("node")))
-    dealt = others.union(perhaps.join(also, "node", "left_anti")).select("node", F.explode("names").alias("name"))
+    exploded = lambda df, turn: df.select("node", F.explode("names").alias("name")).filter(F.pmod("name", F.lit(TURNS)) == turn)
     by_name = Window.partitionBy("name")
     met, met_paths = None, []
     for turn in range(TURNS):  # buckets are apart by name: the shuffle files of one turn are gone before the next
-        some = dealt.filter(F.pmod("name", F.lit(TURNS)) == turn)
+        some = exploded(others, turn).union(exploded(perhaps, turn).join(also, "node", "left_anti"))
         some = some.withColumns({"hub": F.min("node").over(by_name), "many": F.count("*").over(by_name), "_all": F.bit_xor(F.xxhash64("node")).over(by_name)})
         # buckets with the same members are one (if two were taken for one, that would only add candidates)
         some = some.filter("many > 1").select(F.xxhash64("hub", "many", "_all").alias("name"), "node", "hub", "many").distinct()
@@ -335,19 +335,21 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, num: int, den: int,
 
     # buckets of three and more that still hold several components: one round tests the nearest such row of each
     # row, which joins most of them, the other one whatever is left
-    left = met.filter("many > 2").select("name", "node")
+    left = met.filter("many > 2").select("name", "hub", "node")
     for nearest in (True, False):
-        placed = left.select("name", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = left.select("name", "hub", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         held = placed.groupBy("name").agg(F.min("component").alias("_x"), F.max("component").alias("_y"))
-        # components only grow: buckets that hold one stay closed
+        # components only grow: buckets that hold one stay closed, and so do those without a pair that passes
         left = kept(placed.join(held.filter("_x <> _y").select("name"), "name"))
         if left.isEmpty():
             break
-        rest = kept(_compared(left, faces, num, den, nearest, large).join(tested, ["a", "b"], "left_anti"))
+        passed = kept(_compared(left, faces, num, den, nearest, large))
+        rest = kept(passed.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             more = _verified(rest, faces, texts, size, num, den)
             found = kept(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
             tested = tested.union(rest)
+        left = left.join(passed.select("name").distinct(), "name", "left_semi")
 
     # every row goes to its class, the class to its component; what is joined to is written, so that large ones are split
     rep = base.join(classes.drop("_k"), ["fp1", "fp2", "n"], "left").withColumn("rep", F.coalesce("b", "node"))
@@ -368,23 +370,31 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, num: int, den: int,
     return out.drop("rep")
 
 
-def _compared(rows: DataFrame, faces: DataFrame, num: int, den: int, nearest: bool, large: int, most: int = 8 << 20) -> DataFrame:
-    """Pairs (a, b), a > b, of rows (name, node, component) in a bucket and different components whose sketches are near
-    enough. A task takes many small buckets; of a larger one two parts."""
+def _compared(rows: DataFrame, faces: DataFrame, num: int, den: int, nearest: bool, large: int, most: int = 6 << 20) -> DataFrame:
+    """Pairs (a, b), a > b, of rows (name, hub, node, component) in a bucket (name) and different components whose sketches
+    are near enough. A task takes many small buckets, those with the same hub together, as they have rows in common: a
+    row's sketch comes to a task once. Of a larger bucket a task takes two parts."""
     spark = rows.sparkSession
-    shown, path = written(rows.join(faces.select("node", "n", "sketch"), "node"))
-    cuts = F.greatest(F.ceil(F.count("*") / large), F.ceil(F.sum(F.length("sketch")) / most))
-    sized, sized_path = written(shown.groupBy("name").agg(cuts.alias("_cuts"), F.sum(F.length("sketch")).alias("_bytes")))
-    packs = 1 + (sized.filter("_cuts = 1").agg(F.sum("_bytes")).first()[0] or 0) // most
-    dealt = shown.join(sized.drop("_bytes"), "name").withColumn("part", F.pmod(F.xxhash64("node"), F.col("_cuts")))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1)))
+    wide = rows.join(faces.select("node", F.length("sketch").alias("_w")), "node")
+    sized, sized_path = written(wide.groupBy("name", "hub").agg(F.greatest(F.ceil(F.count("*") / large), F.ceil(F.sum("_w") / most)).alias("_cuts"), F.sum("_w").alias("_bytes")))
+    small = sized.filter("_cuts = 1")
+    hubs, hubs_path = written(small.groupBy("hub").agg(F.ceil(F.sum("_bytes") / most).alias("_subs"), F.sum("_bytes").alias("_all")))
+    packs = 1 + (hubs.filter("_subs = 1").agg(F.sum("_all")).first()[0] or 0) // most
+    sub = F.pmod(F.xxhash64("name"), F.col("_subs"))
+    own = small.join(hubs, "hub").select("name", F.lit(1).cast("long").alias("_cuts"), _packed(F.col("_subs") == 1, F.col("hub"), packs, sub).alias("_pack"))
+    dealt = sized.filter("_cuts > 1").select("name", "_cuts", F.lit(None).cast("long").alias("_pack")).union(own)
+    dealt, dealt_path = written(dealt)
+    parted = rows.join(dealt, "name").withColumn("part", F.pmod(F.xxhash64("node"), F.col("_cuts")))
+    parted = parted.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1)))
     low, high = F.least("part", "_other"), F.greatest("part", "_other")
-    dealt = dealt.select(
-        _packed(F.col("_cuts") == 1, F.col("name"), packs, low, high).alias("pack"), "name", low.alias("low"), high.alias("high"), "part", "node", "component", "n", "sketch"
+    members, path = written(
+        parted.select(F.coalesce("_pack", F.xxhash64("name", low, high)).alias("pack"), "name", low.alias("low"), high.alias("high"), "part", "node", "component")
     )
-    out, _ = written(dealt.groupBy("pack").applyInArrow(_across(num, den, nearest), "a long, b long").distinct())
-    drop(spark, path)
-    drop(spark, sized_path)
+    shown = members.select("pack", "node").distinct().join(faces.select("node", "n", "sketch"), "node")
+    both = members.unionByName(shown, allowMissingColumns=True)
+    out, _ = written(both.groupBy("pack").applyInArrow(_across(num, den, nearest), "a long, b long, name long").distinct())
+    for used in (sized_path, hubs_path, dealt_path, path):
+        drop(spark, used)
     return out
 
 
@@ -451,42 +461,49 @@ def _within(size: int, num: int, den: int, columns: int = 4096):
             links.append(got.astype(np.int64))
         return pa.table({"node": np.concatenate(nodes), "links": np.concatenate(links)})
 
-    return counted
+    return lean(counted)
 
 
 def _across(num: int, den: int, nearest: bool):
     """Pairs a > b of rows of a bucket in different components whose sketches are near enough, or for each row
-    the nearest such: of one part of the bucket (low = high) or of two; several buckets a call."""
+    the nearest such: of one part of the bucket (low = high) or of two; several buckets a call. The rows of buckets have a
+    name; others give the sketches."""
 
     def near(rows: pa.Table) -> pa.Table:
-        name, low, high, part, component, node, n = (rows.column(c).to_numpy() for c in ("name", "low", "high", "part", "component", "node", "n"))
+        faces = rows.filter(pc.is_null(rows.column("name"))).sort_by("node")
+        known, sizes = faces.column("node").to_numpy(), faces.column("n").to_numpy()
+        raw = faces.column("sketch").to_pylist()
+        rows = rows.filter(pc.is_valid(rows.column("name")))
+        name, low, high, part, component, node = (rows.column(c).to_numpy() for c in ("name", "low", "high", "part", "component", "node"))
         order = np.lexsort((component, part, high, low, name))
-        name, low, high, part, component, node, n = (x[order] for x in (name, low, high, part, component, node, n))
-        raw = rows.column("sketch").take(pa.array(order)).to_pylist()
-        left, right = [], []
+        name, low, high, part, component, node = (x[order] for x in (name, low, high, part, component, node))
+        at = np.searchsorted(known, node)
+        none = np.empty(0, np.int64)
+        left, right, where = [none], [none], [none]
         starts = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])).tolist()
         for start, stop in zip(starts, [*starts[1:], len(node)]):
-            size = min(map(len, raw[start:stop]))
-            narrow = np.stack([folded(x, size) for x in raw[start:stop]]).view(np.uint64)
-            group, sizes, first = component[start:stop], n[start:stop], part[start:stop] == low[start]
+            held = [raw[k] for k in at[start:stop].tolist()]
+            size = min(map(len, held))
+            narrow = np.stack([folded(x, size) for x in held]).view(np.uint64)
+            group, n, first = component[start:stop], sizes[at[start:stop]], int((part[start:stop] == low[start]).sum())
             two = low[start] < high[start]
-            for i in range(int(first.sum())):
-                # rows of the other part, or of one part those of the components after this one
-                begin = int(first.sum()) if two else int(np.searchsorted(group, group[i], "right"))
+            # rows of the other part, or of one part those of the components after this one
+            begins = np.full(first, first) if two else np.searchsorted(group, group[:first], "right")
+            for i, begin in enumerate(begins.tolist()):
                 if begin >= stop - start:
                     continue
                 far = np.bitwise_count(narrow[begin:] ^ narrow[i]).sum(1, dtype=np.int64)
-                j = np.flatnonzero(((den + num) * far <= (den - num) * (sizes[begin:] + sizes[i])) & (group[begin:] != group[i]))
+                j = np.flatnonzero(((den + num) * far <= (den - num) * (n[begin:] + n[i])) & (group[begin:] != group[i]))
                 if len(j):
                     if nearest:
                         j = j[[far[j].argmin()]]
-                    other = node[start + begin + j]
-                    left.append(np.maximum(node[start + i], other))
-                    right.append(np.minimum(node[start + i], other))
-        none = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *left]), "b": np.concatenate([none, *right])})
+                    other, one = node[start + begin + j], node[start + i]
+                    left.append(np.maximum(one, other))
+                    right.append(np.minimum(one, other))
+                    where.append(np.full(len(j), name[start]))
+        return pa.table({"a": np.concatenate(left), "b": np.concatenate(right), "name": np.concatenate(where)})
 
-    return near
+    return lean(near)
 
 
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

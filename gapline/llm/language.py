@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import learned, local_file, ship, without
+from .shared import lean, learned, local_file, ship, without
 from .text import slices
 
 CORE = 256
@@ -313,10 +313,10 @@ def identify(df: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     """Adds lang_pred and score to every row."""
     name = ship(df.sparkSession, model, "language", 64 << 20)
 
-    @F.arrow_udf("lang_pred string, score double")
+    @lean
     def predicted(texts: pa.Array) -> pa.Array:
         return predict(_network(name), texts)
 
     kept = without(df, {"lang_pred", "score", "_labelled"}, text)
-    marked = kept.withColumn("_labelled", predicted(F.col(f"`{text}`").cast("string")))
+    marked = kept.withColumn("_labelled", F.arrow_udf(predicted, "lang_pred string, score double")(F.col(f"`{text}`").cast("string")))
     return marked.select(*[F.col(f"`{c}`") for c in kept.columns if c not in ("lang_pred", "score")], "_labelled.lang_pred", "_labelled.score")

@@ -30,7 +30,7 @@ from .shared import without, word_count, written
 #: Rows of a range, in the mean, and ranges of a group.
 RANGE_ROWS, GROUP_RANGES = 512, 4096
 #: Rounds of a permutation, two to four for each halving of what a round leaves in order.
-ROUNDS = 24
+ROUNDS = 16
 
 
 @dataclass(frozen=True)
@@ -161,8 +161,9 @@ def _slots(spark, per_source: DataFrame, shard_slots: int, max_passes: int, seed
     counted = _before(counted.withColumn("_range", F.floor(F.col("shard") / RANGE_ROWS)), "_count", "source", "_range", ["shard"], "_first").withColumn(
         "_count", F.least(F.col("_count"), F.greatest(F.col("blocks") * max_passes - F.col("_first"), F.lit(0)))
     ).filter("_count > 0")
-    # shards come from a few rows of sources: without this one task would have them all
-    counted = counted.select("source", "blocks", "shard", "_first", "_count").repartition(F.col("shard"), F.col("source"))
+    # shards come from a few rows of sources: without a fixed number of partitions one task would have them all
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = counted.select("source", "blocks", "shard", "_first", "_count").repartition(partitions, "shard", "source")
     slots = counted.select(
         "source", "blocks", "shard", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_count") - 1)).alias("slot")
     ).withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("long"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import hashlib
+import inspect
 import os
 import shutil
 import tempfile
@@ -148,15 +151,43 @@ def ship(spark: SparkSession, data: bytes, kind: str, max_bytes: int = 1 << 30)
     return name
 
 
+def lean(task):
+    """A function for Python workers, or a generator of batches, that gives freed memory back to the machine at its end:
+    workers stay for the next task, beside others."""
+
+    def trim() -> None:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not the C library that has it
+            pass
+
+    if inspect.isgeneratorfunction(task):
+
+        @functools.wraps(task)
+        def batches(given):
+            yield from task(given)
+            trim()
+
+        return batches
+
+    @functools.wraps(task)
+    def whole(given):
+        out = task(given)
+        trim()
+        return out
+
+    return whole
+
+
 def learned(rows: DataFrame, learn, least: bytes = b"") -> bytes:
     """What `learn` makes of the Arrow batches of `rows`, a sample of proven size, in one task of an executor; `least` if
     there are no rows."""
     importable(rows.sparkSession)
 
+    @lean
     def task(batches):
-        out = learn(batches)
-        if out is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([learn(batches)], pa.binary())], ["model"])
 
     made = rows.mapInArrow(task, "model binary").collect()  # a row a task that had rows
     return bytes(made[0][0]) if made else least

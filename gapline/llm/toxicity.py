@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import learned, local_file, ship, without
+from .shared import lean, learned, local_file, ship, without
 from .text import coded, mix, slices, words
 
 STEMS = (5, 7)
@@ -135,6 +135,12 @@ def fit(rows: Iterator[tuple[pa.Array, list[int]]], bits: int = 22, alpha: float
             ends = np.searchsorted(both >> bits, np.arange(1, part.num_rows))
             examples += np.split((both & (bias - 1)).astype(np.int32), ends)
             labels += part.column("y").to_pylist()
+    # a place that few examples have moves by less than 1 a visit: if it cannot reach L1, its weight stays 0 and it goes
+    often = np.zeros(bias, np.int32)
+    for x in examples:
+        often[x] += 1
+    reaches = often * epochs > l1
+    examples = [x[reaches[x]] for x in examples]
     turn = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in turn.permutation(len(examples)):
@@ -177,7 +183,7 @@ def scores(texts: pa.Array, model: Weights) -> np.ndarray:
     """The probability of label 1 for each text."""
     out = []
     batch = pa.RecordBatch.from_arrays([texts], ["t"])
-    for part in slices(batch, "t", 8 << 20):
+    for part in slices(batch, "t", 2 << 20):
         owner, place = features(part.column(0), model.bits, model.known)  # few features have a weight
         pairs = np.unique((owner.astype(np.int64) << model.bits) | place)
         total = np.bincount(pairs >> model.bits, weights=model.of(pairs & ((1 << model.bits) - 1)), minlength=part.num_rows) + model.bias
@@ -217,10 +223,10 @@ def score(df: DataFrame, model: bytes, text: str = "text", threshold: float = 0.
     """Adds score and predicted (int) to every row."""
     name = ship(df.sparkSession, model, "toxicity", 256 << 20)
 
-    @F.arrow_udf("double")
+    @lean
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array(scores(texts, _weights(name)))
 
     kept = without(df, {"score", "predicted"}, text)
-    made = scored(F.col(f"`{text}`").cast("string"))
+    made = F.arrow_udf(scored, "double")(F.col(f"`{text}`").cast("string"))
     return kept.withColumn("score", made).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
