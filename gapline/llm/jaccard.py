@@ -40,7 +40,6 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from .components import components
 from .shared import drop, lean, tidied, written
@@ -139,20 +138,23 @@ def folded(data: bytes, size: int) -> np.ndarray:
     return a
 
 
-def distances(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """The Hamming distances of pairs of sketches, each folded to the narrower one of its pair."""
-    widths = [pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)]
+def distances(raw: list[bytes], a: np.ndarray, b: np.ndarray, most: int = 4 << 20) -> np.ndarray:
+    """The Hamming distances of pairs of the sketches with numbers a and b, each folded to the narrower one of its pair."""
+    width = np.array([len(x) for x in raw], np.int64)
     out = np.zeros(len(a), np.int64)
-    kinds = widths[0] << 32 | widths[1]
-    for kind in np.unique(kinds):
-        of = np.flatnonzero(kinds == kind)
-        pair = [np.frombuffer(b"".join(x.take(pa.array(of)).to_pylist()), np.uint8).reshape(len(of), -1) for x in (a, b)]
-        size = min(x.shape[1] for x in pair)
-        for k in (0, 1):
-            while pair[k].shape[1] > size:
-                half = pair[k].shape[1] // 2
-                pair[k] = pair[k][:, :half] ^ pair[k][:, half:]
-        out[of] = np.bitwise_count(pair[0] ^ pair[1]).sum(1, dtype=np.int64)
+    kinds = width[a] << 32 | width[b]
+    order = np.argsort(kinds, kind="stable")
+    for of in np.split(order, np.flatnonzero(np.diff(kinds[order])) + 1) if len(a) else ():
+        step = max(1, most // int(width[a[of[0]]] + width[b[of[0]]]))
+        for i in range(0, len(of), step):
+            part = of[i : i + step]
+            pair = [np.frombuffer(b"".join([raw[k] for k in x[part].tolist()]), np.uint8).reshape(len(part), -1) for x in (a, b)]
+            size = min(x.shape[1] for x in pair)
+            for k in (0, 1):
+                while pair[k].shape[1] > size:
+                    half = pair[k].shape[1] // 2
+                    pair[k] = pair[k][:, :half] ^ pair[k][:, half:]
+            out[part] = np.bitwise_count(pair[0] ^ pair[1]).sum(1, dtype=np.int64)
     return out
 
 
@@ -221,11 +223,6 @@ def _thinned(rows: DataFrame, hashed, wanted: DataFrame) -> DataFrame:
     return _split(rows, hashed, wanted)[0]
 
 
-@F.arrow_udf(BooleanType())
-def _near(a: pa.Array, b: pa.Array, most: pa.Array) -> pa.Array:
-    return pa.array(distances(a, b) <= most.to_numpy(zero_copy_only=False), pa.bool_())
-
-
 def _texts(docs: DataFrame, key: str, text: str, wanted: DataFrame, repeated: DataFrame | None) -> DataFrame:
     """(_id, _mark, text) of at least the rows whose mark is in `wanted`, one of those with equal ids and texts. Null ids
     are 0 here: which of the rows with the same text it is makes no difference."""
@@ -242,21 +239,42 @@ def _packed(small, number, packs: int, *large):
     return F.when(small, F.pmod(F.xxhash64(number), F.lit(packs))).otherwise(F.xxhash64(number, *large))
 
 
+def _sketched(pairs: DataFrame, faces: DataFrame, num: int, den: int, most: int = 6 << 20) -> DataFrame:
+    """The pairs (a, b) of nodes whose sketches are near enough. A task has some of the stars, with each sketch once; a star
+    with more than `most` bytes of sketches is dealt to several."""
+    spark = pairs.sparkSession
+    of = lambda x: faces.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.length("sketch").alias(f"w_{x}"))
+    fit, fit_path = written(pairs.join(of("a"), "a").join(of("b"), "b").filter(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")).select("a", "b", "w_a", "w_b"))
+    stars, stars_path = written(fit.groupBy("b").agg(F.sum(F.col("w_a") + 64).alias("_bytes"), F.greatest(F.lit(1), F.ceil(F.sum("w_a") / most)).alias("_cuts")))
+    packs = 1 + (stars.filter("_cuts = 1").agg(F.sum("_bytes")).first()[0] or 0) // most
+    pack = _packed(F.col("_cuts") == 1, F.col("b"), packs, F.pmod(F.xxhash64("a"), F.col("_cuts")))
+    members, path = written(fit.join(stars, "b").select(pack.alias("pack"), "a", "b"))
+    needed = members.select("pack", F.col("a").alias("node")).union(members.select("pack", "b")).distinct()
+    shown = needed.join(faces.select("node", "n", "sketch"), "node")
+
+    def passed(rows: pa.Table) -> pa.Table:
+        ours = rows.filter(pc.is_null(rows.column("a"))).sort_by("node")
+        known, n, raw = ours.column("node").to_numpy(), ours.column("n").to_numpy().astype(np.int64), ours.column("sketch").to_pylist()
+        rows = rows.filter(pc.is_valid(rows.column("a")))
+        a, b = rows.column("a").to_numpy(), rows.column("b").to_numpy()
+        i, j = np.searchsorted(known, a), np.searchsorted(known, b)
+        keep = (den + num) * distances(raw, i, j) <= (den - num) * (n[i] + n[j])
+        return pa.table({"a": a[keep], "b": b[keep]})
+
+    out, _ = written(members.unionByName(shown, allowMissingColumns=True).groupBy("pack").applyInArrow(lean(passed), "a long, b long"))
+    for used in (fit_path, stars_path, path):
+        drop(spark, used)
+    return out
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts, size: int, num: int, den: int, most: int = 4 << 20) -> DataFrame:
     """The pairs (a, b) of nodes that link: by sketches first, then exactly on whole texts. A task has some of the stars,
     the texts of about `most` bytes; a larger star is dealt to several tasks that each have its b."""
     spark = nodes.sparkSession
-    one = nodes.select("node", "id", "mark", "size", "n", "fp1", "fp2", "sketch")
+    one = nodes.select("node", "id", "mark", "size")
     left = one.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in one.columns[1:]])
     right = one.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in one.columns[1:]])
-    sum_n = F.col("n_a") + F.col("n_b")
-    near, near_path = written(
-        pairs.join(left, "a").join(right, "b")
-        .filter((F.col("fp1_a") != F.col("fp1_b")) | (F.col("fp2_a") != F.col("fp2_b")))
-        .filter((den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")))
-        .filter(_near("sketch_a", "sketch_b", F.floor(sum_n * (den - num) / (den + num)).cast("int")))
-        .select("a", "b", *[f"{c}_{x}" for x in "ab" for c in ("id", "mark", "size")])
-    )
+    near, near_path = written(_sketched(pairs, nodes, num, den).join(left, "a").join(right, "b"))
     stars, stars_path = written(
         near.groupBy("b").agg(F.ceil(F.sum("size_a") / most).alias("_cuts"), F.sum("size_a").alias("_bytes"), F.min("id_b").alias("id"), F.min("mark_b").alias("mark"))
     )

@@ -207,8 +207,8 @@ def test_blocks_survive_empty_ones():
             common = len(np.intersect1d(a, b))
             if 100 * common >= 85 * (2 * n - common) and d:
                 assert len(np.intersect1d(jaccard.names(a, 85, 100), jaccard.names(b, 85, 100)))
-                sketches = [pa.array([jaccard.sketch(x)], pa.binary()) for x in (a, b)]
-                assert jaccard.distances(*sketches)[0] <= len(np.setxor1d(a, b))
+                sketches, at = [jaccard.sketch(x) for x in (a, b)], np.array([0])
+                assert jaccard.distances(sketches, at, at + 1)[0] <= len(np.setxor1d(a, b))
 
 
 def fill(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
