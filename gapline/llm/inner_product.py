@@ -7,27 +7,32 @@ by the weighted least squares of the same loss. A query turns its products with
 steps for each byte; a scan adds looked-up entries, and the best `rerank` rows of a chunk (and all that tie with the last)
 are scored exactly on the original vectors in double precision.
 
-The centres are fitted on a sample of `max_rows` rows; every row is coded and scanned. Chunks of coded rows meet chunks of
-queries, so a task's memory is bounded whatever the data; each query gets the best of every chunk, then of all.
-
-Defined results: vectors that are null, empty, zero or hold null or non-finite components, and those of another length than
-the commonest, are neither queries nor candidates; a row is never a candidate of a query with its id; ties go to the
-smaller id; with fewer candidates than asked for, all are returned; an empty table gives an empty result.
+The centres are fitted on a sample of `max_rows` rows for each of the `max_widths` commonest lengths; every row is coded
+and scanned (rows of rarer lengths without codes, so that all are scored exactly). Queries and candidates have the same
+length. Chunks of coded rows meet chunks of queries, so a task's memory is bounded whatever the data; each query gets the
+best of every chunk, then of all.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components are neither queries nor
+candidates; a row is never its own candidate, others are, also with the same id, and rows that share an id are queries of
+their own; ties go to the smaller id, null ids last; with fewer candidates than asked for, all are returned; other columns
+play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .neardup_vectors import _matrix
-from .quantisation import kmeans, sample, usable
-from .shared import local_file, ship, written
+from .neardup_vectors import matrix
+from .quantisation import bundled, commonest, kmeans, sample, unbundled, usable
+from .shared import lean, local_file, ship, written
 
-CODED = "id long, x array<double>, codes binary"
-NEAR = "query_id long, vec_id long, score double"
+CODED = "node long, id long, x array<{}>, codes binary"
+NEAR = "query long, vec_id long, score double, query_id long"
 
 
 class Codes:
@@ -119,75 +124,86 @@ class Codes:
         return total
 
 
-_CODES: dict[str, Codes] = {}
+_CODES: dict[str, dict[int, Codes]] = {}
 
 
-def _codes(name: str) -> Codes:
+def _codes(name: str, width: int) -> Codes | None:
     if name not in _CODES:
         with open(local_file(name), "rb") as f:
-            _CODES[name] = Codes.load(f.read())
-    return _CODES[name]
+            _CODES[name] = {k: Codes.load(v) for k, v in unbundled(f.read()).items()}
+    return _CODES[name].get(width)
 
 
-def best(codes: Codes, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, columns: np.ndarray, k: int, rerank: int):
-    """The k best rows of the chunk for each query: query ids, ids and exact scores."""
+def best(codes: Codes | None, queries: np.ndarray, q: np.ndarray, nodes: np.ndarray, ids: np.ndarray, x: np.ndarray, columns: np.ndarray, k: int, rerank: int):
+    """The k best rows of the chunk for each query: the query's place, the row's place and exact scores. `ids` order ties."""
     out = []
-    for q_id, query in zip(q_ids, q):
-        total = codes.scan(query, columns)
-        total[ids == q_id] = 0
-        if len(total) > rerank + 1:
-            least = np.partition(total, len(total) - rerank - 1)[len(total) - rerank - 1]
-            at = np.flatnonzero(total >= least)
-        else:
-            at = np.arange(len(total))
-        at = at[ids[at] != q_id]
+    for i, (own, query) in enumerate(zip(queries, q)):
+        at = np.arange(len(nodes))
+        if codes is not None and len(nodes) > rerank + 1:
+            total = codes.scan(query, columns)
+            total[nodes == own] = 0
+            at = np.flatnonzero(total >= np.partition(total, len(total) - rerank - 1)[len(total) - rerank - 1])
+        at = at[nodes[at] != own]
         score = x[at] @ query
         order = np.lexsort((ids[at], -score))[:k]
-        out.append((np.full(len(order), q_id), ids[at][order], score[order]))
+        out.append((np.full(len(order), i), at[order], score[order]))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
-def search(df: DataFrame, queries: Column, key: str = "vec_id", embedding: str = "embedding", k: int = 20, width: int = 2, threshold: float = 0.2, rerank: int = 150, max_rows: int = 10000, chunk: int = 16384, query_chunk: int = 2048) -> DataFrame:
+def search(df: DataFrame, queries: Column, key: str = "vec_id", embedding: str = "embedding", k: int = 20, width: int = 2, threshold: float = 0.2, rerank: int = 400, max_rows: int = 10000, max_widths: int = 32, chunk: int = 16384, query_chunk: int = 2048) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest rows found of each row for which `queries` is true."""
     spark = df.sparkSession
-    x = F.col(f"`{embedding}`").cast("array<double>")
-    kept = df.filter(usable(F.col(f"`{embedding}`")) & F.col(f"`{key}`").isNotNull())
-    vectors = kept.select(F.col(f"`{key}`").cast("long").alias("id"), x.alias("x"), F.coalesce(queries, F.lit(False)).alias("_asks"))
-    common = vectors.groupBy(F.size("x").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d = common["w"]
-    vectors = vectors.filter(F.size("x") == d)
-    # the weight of the parallel part for products above the threshold
-    eta = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
-    name = ship(spark, Codes.fit(sample(vectors.select("id", "x"), max_rows), width, eta).dump(), "codes", 256 << 20)
-
+    single = isinstance(df.schema[embedding].dataType, ArrayType) and isinstance(df.schema[embedding].dataType.elementType, FloatType)
+    number = "float" if single else "double"
+    x = F.col(f"`{embedding}`").cast(f"array<{number}>")
+    kept = df.withColumn("_gapline_asks", F.coalesce(queries, F.lit(False))).filter(usable(F.col(f"`{embedding}`")))
+    # numbers of rows hold only while nothing is computed again
+    vectors, _ = written(kept.select(F.monotonically_increasing_id().alias("node"), F.col(f"`{key}`").cast("long").alias("id"), x.alias("x"), F.col("_gapline_asks").alias("asks")))
+    fitted = {}
+    for d, many in commonest(vectors, max_widths):
+        # the weight of the parallel part for products above the threshold
+        eta = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
+        fitted[d] = Codes.fit(sample(vectors.filter(F.size("x") == d).select(F.col("node").alias("id"), "x"), many, max_rows), width, eta).dump()
+    name = ship(spark, bundled(fitted), "codes", 256 << 20)
+
+    @lean
     def coded(batches):
-        codes = _codes(name)
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                packed = codes.pack(_matrix(batch.column("x")))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), pa.array([c.tobytes() for c in packed], pa.binary())], ["id", "x", "codes"])
-
-    rows, _ = written(vectors.select("id", "x").mapInArrow(coded, CODED))
-    asked = vectors.filter("_asks").select("id", "x")
-    n_rows, n_asked = max(1, -(-rows.count() // chunk)), max(1, -(-asked.count() // query_chunk))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    both = rows.select("id", "x", "codes", part(n_rows).alias("_r"), every(n_asked).alias("_q")).unionByName(
-        asked.select("id", "x", F.lit(None).cast("binary").alias("codes"), every(n_rows).alias("_r"), part(n_asked).alias("_q"))
+                part = whole.slice(at, 4096)
+                lengths = pc.list_value_length(part.column("x")).to_numpy(zero_copy_only=False)
+                for d in np.unique(lengths).tolist():
+                    batch, codes = part.take(pa.array(np.flatnonzero(lengths == d))), _codes(name, d)
+                    packed = [c.tobytes() for c in codes.pack(matrix(batch.column("x")))] if codes else [b""] * batch.num_rows
+                    yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "id", "x")] + [pa.array(packed, pa.binary())], ["node", "id", "x", "codes"])
+
+    rows, _ = written(vectors.select("node", "id", "x").mapInArrow(coded, CODED.format(number)))
+    # chunks of each length: a row a length
+    sizes = vectors.groupBy(F.size("x").alias("width")).agg(
+        F.ceil(F.count("*") / chunk).cast("int").alias("n_r"), F.ceil(F.count_if("asks") / query_chunk).cast("int").alias("n_q")
+    ).filter("n_q > 0")
+    sizes, _ = written(sizes)
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    by_width = lambda t: t.withColumn("width", F.size("x")).join(sizes, "width")
+    columns = ["width", "node", "id", "x", "codes"]
+    asked = vectors.filter("asks").select("node", "id", "x", F.lit(None).cast("binary").alias("codes"))
+    both = by_width(rows).select(*columns, part("n_r").alias("_r"), every("n_q").alias("_q")).unionByName(
+        by_width(asked).select(*columns, every("n_r").alias("_r"), part("n_q").alias("_q"))
     )
 
+    @lean
     def scanned(table: pa.Table) -> pa.Table:
-        codes = _codes(name)
+        codes = _codes(name, table.column("width")[0].as_py())
         is_query = table.column("codes").is_null().to_numpy(zero_copy_only=False)
-        ids, m = table.column("id").to_numpy(), _matrix(table.column("x"))
+        node, m = table.column("node").to_numpy(), matrix(table.column("x"))
+        ids = pc.fill_null(table.column("id"), np.iinfo(np.int64).max).to_numpy()
         bytes_of = table.column("codes").filter(pa.array(~is_query)).to_pylist()
         columns = np.ascontiguousarray(np.stack([np.frombuffer(b, np.uint8) for b in bytes_of]).T) if bytes_of else np.empty((0, 0), np.uint8)
-        a, b, s = best(codes, ids[is_query], m[is_query], ids[~is_query], m[~is_query], columns, k, rerank) if bytes_of else best(codes, ids[:0], m[:0], ids, m, columns, k, rerank)
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
+        a, b, s = best(codes, node[is_query], m[is_query], node[~is_query], ids[~is_query], m[~is_query], columns, k, rerank)
+        rows = pc.filter(table.column("id"), pa.array(~is_query)).take(pa.array(b))
+        return pa.table({"query": pa.array(node[is_query][a], pa.int64()), "vec_id": rows, "score": pa.array(s, pa.float64()), "query_id": pc.filter(table.column("id"), pa.array(is_query)).take(pa.array(a))})
 
-    near = both.groupBy("_r", "_q").applyInArrow(scanned, NEAR)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = both.groupBy("width", "_r", "_q").applyInArrow(scanned, NEAR)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last()))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -14,24 +14,28 @@ Equal vectors of a label are one class with a weight. Lists are cut into chunks
 of queries with a chunk of coded rows; a task gives sums for each row and the links of a spanning star of each group
 that it finds, never all pairs.
 
+Each length of vectors has an index of its own (the `max_widths` commonest; vectors of others are one list, all of which
+is compared exactly). Vectors of different lengths never link.
+
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without label, link
-with nothing, nor do vectors of other lengths than the fitted ones' (the commonest in the sample) except to equal ones;
-rows that share an id are vectors of their own; a component is named by the smallest id in it, null ids only if there is
-no other; an empty table gives an empty result.
+with nothing; rows that share an id are vectors of their own; a component is named by the smallest id in it, null ids only
+if there is no other; other columns play no part, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .components import components
-from .quantisation import kmeans, nearest, sample, subspaces, usable
-from .shared import ship, local_file, written
+from .quantisation import bundled, commonest, kmeans, nearest, sample, subspaces, unbundled, usable
+from .shared import lean, local_file, ship, tidied, written
 
-ROWS = "label string, list int, resident boolean, node long, weight long, own int, visits array<int>, x array<double>, codes binary, error double"
+ROWS = "label string, width int, list int, resident boolean, node long, weight long, own int, visits array<int>, x array<{}>, codes binary, error double"
 FOUND = "a long, b long, links long"
 
 
@@ -71,6 +75,8 @@ class Index:
         """List, codes and length of the error of unit vectors."""
         own, _ = nearest(x, self.centres)
         residual = x - self.centres[own]
+        if not self.books:
+            return own, np.empty((len(x), 0), np.uint8), np.sqrt((residual**2).sum(1))
         codes = np.stack([nearest(residual[:, s], b)[0] for s, b in zip(self.spaces, self.books)], 1).astype(np.uint8)
         rebuilt = np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
         return own, codes, np.sqrt(((residual - rebuilt) ** 2).sum(1))
@@ -93,19 +99,21 @@ class Index:
         return out
 
 
-_INDEX: dict[str, Index] = {}
+_INDEX: dict[str, dict[int, Index]] = {}
 
 
-def _index(name: str) -> Index:
+def _index(name: str, width: int) -> Index:
+    """The index of a length; without one, all vectors are in one list, with codes of no parts that rule nothing out."""
     if name not in _INDEX:
         with open(local_file(name), "rb") as f:
-            _INDEX[name] = Index.load(f.read())
-    return _INDEX[name]
+            _INDEX[name] = {k: Index.load(v) for k, v in unbundled(f.read()).items()}
+    return _INDEX[name].get(width) or Index(np.zeros((1, width)), [])
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of the same length as rows of doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -127,7 +135,7 @@ def compare(index: Index, which: int, table: pa.Table, threshold: float) -> tupl
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     resident = table.column("resident").to_numpy(zero_copy_only=False)
     node, weight, own = (table.column(c).to_numpy() for c in ("node", "weight", "own"))
-    x = _matrix(table.column("x"))
+    x = matrix(table.column("x"))
     norms = np.sqrt((x * x).sum(1))
     r, q = np.flatnonzero(resident), np.flatnonzero(~resident)
     codes = np.stack([np.frombuffer(c, np.uint8) for c in table.column("codes").take(pa.array(r)).to_pylist()]) if len(r) else np.empty((0, 1), np.uint8)
@@ -156,11 +164,18 @@ def compare(index: Index, which: int, table: pa.Table, threshold: float) -> tupl
     return (np.concatenate(left) if left else q[:0]), (np.concatenate(right) if right else q[:0]), node, weight
 
 
-def link(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, parts: int = 16, max_rows: int = 20000, chunk: int = 4096) -> DataFrame:
+def link(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.93, parts: int = 16, max_rows: int = 20000, max_widths: int = 32, chunk: int = 4096) -> DataFrame:
     """id, n_links and component_id of every row. Links are the pairs with equal labels and a cosine of `threshold` or more.
-    The index is fitted on a sample of `max_rows` rows; its lists grow with the cube root of the rows."""
+    The index is fitted on samples of `max_rows` rows a length; its lists grow with the cube root of the rows."""
+    return tidied(df.sparkSession, lambda: _linked(df, key, embedding, label, threshold, parts, max_rows, max_widths, chunk))[0]
+
+
+def _linked(df: DataFrame, key: str, embedding: str, label: str, threshold: float, parts: int, max_rows: int, max_widths: int, chunk: int) -> DataFrame:
     spark = df.sparkSession
-    x = F.col(f"`{embedding}`").cast("array<double>")
+    # single precision travels as such; all arithmetic is double
+    single = isinstance(df.schema[embedding].dataType, ArrayType) and isinstance(df.schema[embedding].dataType.elementType, FloatType)
+    number = "float" if single else "double"
+    x = F.col(f"`{embedding}`").cast(f"array<{number}>")
     base, _ = written(
         df.select(
             F.monotonically_increasing_id().alias("node"), F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{label}`").cast("string").alias("label"),
@@ -169,41 +184,43 @@ def link(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", label
     )
     part = base.filter("x is not null and label is not null")
     classes, _ = written(part.groupBy("label", "x").agg(F.min("node").alias("node"), F.count("*").alias("weight")))
-    drawn = sample(classes.select(F.col("node").alias("id"), "x").filter(F.size("x") == _width(classes)), max_rows)
-    drawn = drawn / np.sqrt((drawn**2).sum(1, keepdims=True)) if len(drawn) else drawn
-    n = classes.count()
-    index = Index.fit(drawn, int(np.clip(round(n ** (1 / 3)), 1, 4096)), parts)
-    name = ship(spark, index.dump(), "vectors", 512 << 20)
+    fitted = {}
+    for width, many in commonest(classes, max_widths):
+        drawn = sample(classes.select(F.col("node").alias("id"), "x").filter(F.size("x") == width), many, max_rows)
+        fitted[width] = Index.fit(drawn / np.sqrt((drawn**2).sum(1, keepdims=True)), int(np.clip(round(many ** (1 / 3)), 1, 4096)), parts).dump()
+    name = ship(spark, bundled(fitted), "vectors", 512 << 20)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    width = index.centres.shape[1]
 
+    @lean
     def placed(batches):
-        index = _index(name)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                m = _matrix(batch.column("x"))
-                unit = m / np.sqrt((m * m).sum(1, keepdims=True))
-                own, codes, error = index.code(unit)
-                near = index.visits(unit, own, reach)
-                row, where = np.nonzero(near)
-                many = len(own)
-                take = pa.array(np.concatenate([np.arange(many), np.arange(many), row]))
-                resident = np.arange(len(take)) < many
-                visits = pa.array([np.flatnonzero(v).astype(np.int32) for v in near] + [None] * (len(take) - many), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("label").take(take), pa.array(np.concatenate([own, own, where]).astype(np.int32)), pa.array(resident),
-                        batch.column("node").take(take), batch.column("weight").take(take), pa.array(own[take.to_numpy()].astype(np.int32)), visits,
-                        batch.column("x").take(take), pa.array([c.tobytes() for c in codes] + [None] * (len(take) - many), pa.binary()),
-                        pa.array(np.concatenate([error, np.zeros(len(take) - many)])),
-                    ],
-                    ["label", "list", "resident", "node", "weight", "own", "visits", "x", "codes", "error"],
-                )
-
+                lengths = pc.list_value_length(whole.column("x").slice(at, 2048)).to_numpy(zero_copy_only=False)
+                for width in np.unique(lengths).tolist():
+                    index, batch = _index(name, width), whole.slice(at, 2048).take(pa.array(np.flatnonzero(lengths == width)))
+                    m = matrix(batch.column("x"))
+                    unit = m / np.sqrt((m * m).sum(1, keepdims=True))
+                    own, codes, error = index.code(unit)
+                    near = index.visits(unit, own, reach)
+                    row, where = np.nonzero(near)
+                    many = len(own)
+                    take = pa.array(np.concatenate([np.arange(many), np.arange(many), row]))
+                    resident = np.arange(len(take)) < many
+                    visits = pa.array([np.flatnonzero(v).astype(np.int32) for v in near] + [None] * (len(take) - many), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("label").take(take), pa.array(np.full(len(take), width, np.int32)), pa.array(np.concatenate([own, own, where]).astype(np.int32)), pa.array(resident),
+                            batch.column("node").take(take), batch.column("weight").take(take), pa.array(own[take.to_numpy()].astype(np.int32)), visits,
+                            batch.column("x").take(take), pa.array([c.tobytes() for c in codes] + [None] * (len(take) - many), pa.binary()),
+                            pa.array(np.concatenate([error, np.zeros(len(take) - many)])),
+                        ],
+                        ["label", "width", "list", "resident", "node", "weight", "own", "visits", "x", "codes", "error"],
+                    )
+
+    @lean
     def compared(table: pa.Table) -> pa.Table:
         which = table.column("list")[0].as_py()
-        a, b, node, weight = compare(_index(name), which, table, threshold)
+        a, b, node, weight = compare(_index(name, table.column("width")[0].as_py()), which, table, threshold)
         sums = np.bincount(a, weights=weight[b], minlength=len(node)) + np.bincount(b, weights=weight[a], minlength=len(node))
         # a node may be there as query and as resident
         nodes, at = np.unique(node, return_inverse=True)
@@ -218,31 +235,24 @@ def link(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", label
             }
         )
 
-    rows = classes.filter(F.size("x") == width).mapInArrow(placed, ROWS) if width else spark.createDataFrame([], ROWS)
-    rows, _ = written(rows)
+    rows, _ = written(classes.mapInArrow(placed, ROWS.format(number)))
     # large lists are cut: every chunk of queries meets every chunk of residents
-    counts = rows.groupBy("label", "list").agg(
+    counts = rows.groupBy("label", "width", "list").agg(
         F.ceil(F.count_if("resident") / chunk).cast("int").alias("_nr"), F.ceil(F.count_if(~F.col("resident")) / chunk).cast("int").alias("_nq")
     ).filter("_nr > 0 and _nq > 0")
-    dealt = rows.join(counts, ["label", "list"])
+    dealt = rows.join(counts, ["label", "width", "list"])
     own_part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(F.col("resident"), F.col("_nq")).otherwise(F.col("_nr")) - 1)))
     dealt = dealt.withColumns(
         {"_r": F.when(F.col("resident"), own_part("_nr")).otherwise(F.col("_other")), "_q": F.when(F.col("resident"), F.col("_other")).otherwise(own_part("_nq"))}
     ).drop("_other", "_nr", "_nq")
-    found, _ = written(dealt.groupBy("label", "list", "_r", "_q").applyInArrow(compared, FOUND))
-
-    of_class = part.join(classes.select("label", "x", F.col("node").alias("rep"), "weight"), ["label", "x"]).select("node", "rep", "weight")
-    tied = found.filter("b is not null").select("a", "b").union(of_class.filter("node <> rep").select("node", "rep"))
-    reached = components(tied)
-    sums = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("_sum"))
-    linked = of_class.join(sums, "rep", "left").select("node", (F.coalesce("_sum", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = base.select("node", "id").join(linked, "node", "left").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = out.groupBy("component").agg(F.min("id").alias("component_id"))
+    found, _ = written(dealt.groupBy("label", "width", "list", "_r", "_q").applyInArrow(compared, FOUND))
+
+    # links are between classes; their members join them at the end, on written tables, so that large classes are split
+    of_class, _ = written(part.join(classes.select("label", "x", F.col("node").alias("rep"), "weight"), ["label", "x"]).select("node", "rep", "weight"))
+    reached = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
+    sums, _ = written(found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("_sum")).join(reached, "rep", "full"))
+    linked = of_class.join(sums, "rep", "left").select("node", F.coalesce("component", "rep").alias("component"), (F.coalesce("_sum", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    out, _ = written(base.select("node", "id").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least, _ = written(out.groupBy("component").agg(F.min("id").alias("component_id")))
     return out.join(least, "component").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
-
-
-def _width(classes: DataFrame) -> int:
-    """The commonest length of vectors."""
-    first = classes.groupBy(F.size("x").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    return first["w"] if first else 0

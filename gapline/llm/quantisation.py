@@ -14,9 +14,28 @@ def usable(embedding: Column) -> Column:
     return x.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(x, lambda v: v != 0)
 
 
-def sample(vectors: DataFrame, max_rows: int) -> np.ndarray:
-    """About `max_rows` rows of (id, x) at most, by hash of their ids."""
-    n = vectors.count()
+def commonest(vectors: DataFrame, most: int) -> list[tuple[int, int]]:
+    """The `most` commonest lengths of the column x, with their numbers of rows."""
+    return [tuple(r) for r in vectors.groupBy(F.size("x").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()]
+
+
+def bundled(parts: dict[int, bytes]) -> bytes:
+    """Parts by number in one file."""
+    head = np.array([len(parts), *[v for k, data in parts.items() for v in (k, len(data))]], "<i8")
+    return head.tobytes() + b"".join(parts.values())
+
+
+def unbundled(data: bytes) -> dict[int, bytes]:
+    many = int(np.frombuffer(data, "<i8", 1)[0])
+    head, at, out = np.frombuffer(data, "<i8", 2 * many, 8).tolist(), 8 + 16 * many, {}
+    for k, n in zip(head[::2], head[1::2]):
+        out[k] = data[at : at + n]
+        at += n
+    return out
+
+
+def sample(vectors: DataFrame, n: int, max_rows: int) -> np.ndarray:
+    """About `max_rows` of the n rows of (id, x) at most, by hash of their ids."""
     share = int(min(1.0, max_rows / max(n, 1)) * (1 << 30))
     rows = (
         vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share)

@@ -25,6 +25,7 @@ def vectors(spark):
     odd = [None, [], [0.0] * 16, [float("nan")] * 16, [None] * 16, [float("inf")] + [1.0] * 15]
     rows += [(n + i, x, 0, None, None) for i, x in enumerate(odd)]
     rows += [(n + 10, rows[0][1], None, None, None), (n + 11, rows[0][1], 0, None, None), (n + 11, rows[0][1], 0, None, None), (n + 12, [1.0] * 3, 0, None, None)]
+    rows += [(n + 13, [1.0, 2.0, 3.0], 0, None, None), (n + 14, [1.0, 2.0, 3.1], 0, None, None), (n + 15, [2.0], 0, None, None), (n + 16, [0.5], 0, None, None)]
     return rows, spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -55,27 +56,62 @@ def test_near_duplicates_are_brute_force(spark, vectors):
     for i, r in enumerate(rows):
         least[find(i)] = min(least.get(find(i), r[0]), r[0])
     wanted = sorted((r[0], links[i], least[find(i)]) for i, r in enumerate(rows))
-    for chunk in (4096, 7):
-        got = neardup_vectors.link(df, parts=4, chunk=chunk).collect()
+    for chunk, widths in ((4096, 32), (7, 1)):  # with one fitted length the others are compared exactly
+        got = neardup_vectors.link(df, parts=4, chunk=chunk, max_widths=widths).collect()
         assert sorted((r["id"], r["n_links"], r["component_id"]) for r in got) == wanted
     assert sum(links.values()) > 50
 
 
-def test_search_is_brute_force(vectors):
+@pytest.mark.parametrize("widths", [32, 1])
+def test_search_is_brute_force(vectors, widths):
     rows, df = vectors
-    take = {r[0]: np.array(r[1]) for r in rows if usable(r[1]) and len(r[1]) == 16}
-    got = inner_product.search(df, F.col("vec_id") % 10 == 0, k=5, max_rows=200, chunk=64, query_chunk=8).toPandas()
-    assert set(got["query_id"]) == {i for i in take if i % 10 == 0}
-    hits = 0
-    for q, of in got.groupby("query_id"):
-        of = of.sort_values("rank")
-        assert list(of["rank"]) == [1, 2, 3, 4, 5] and q not in set(of["vec_id"])
-        assert list(of["score"]) == pytest.approx([take[v] @ take[q] for v in of["vec_id"]])
-        order = sorted(zip(-of["score"], of["vec_id"]))
-        assert [v for _, v in order] == list(of["vec_id"])
-        best = sorted((i for i in take if i != q), key=lambda i: (-(take[i] @ take[q]), i))[:5]
-        hits += len(set(best) & set(of["vec_id"]))
-    assert hits / len(got) >= 0.9
+    take = [(r[0], np.array(r[1])) for r in rows if usable(r[1])]
+    asks = lambda i, x: i % 10 == 0 or len(x) == 3
+    found = inner_product.search(df, (F.col("vec_id") % 10 == 0) | (F.size("embedding") == 3), k=5, max_rows=200, max_widths=widths, chunk=64, query_chunk=8).toPandas()
+    queries = [(i, x, row) for row, (i, x) in enumerate(take) if asks(i, x)]
+    assert len({i for i, _, _ in queries}) == len(queries)
+    assert set(found["query_id"]) == {i for i, x, row in queries if sum(len(y) == len(x) for _, y in take) > 1}
+    hits = wanted = 0
+    for i, x, row in queries:
+        of = found[found["query_id"] == i].sort_values("rank")
+        exact = sorted((-(y @ x), j) for k, (j, y) in enumerate(take) if k != row and len(y) == len(x))[:5]
+        assert list(of["rank"]) == list(range(1, len(exact) + 1))
+        got = list(zip(-of["score"], of["vec_id"]))
+        assert got == sorted(got)
+        for s, j in got:
+            assert any(j == v and -s == pytest.approx(y @ x) for v, y in take if len(y) == len(x))
+        hits += len({j for _, j in exact} & set(of["vec_id"]))
+        wanted += len({j for _, j in exact})
+    assert hits / wanted >= 0.9
+
+
+def test_rows_that_share_an_id_are_queries_of_their_own(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (None, [0.5, 3.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"] if r["vec_id"] is not None else -1, r["score"]) for r in inner_product.search(df, F.col("vec_id") == 0).collect())
+    # each is a candidate of the other
+    assert got == [(1, -1, 3.0), (1, 1, 2.0), (2, -1, 0.5), (2, 1, 1.0), (3, 0, 0.0), (3, 0, 0.0)]
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_scans_find_the_best_rows(spread):
+    """On one large chunk, also with very different norms; a scan of random numbers finds few."""
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(16384, 64)) * np.exp(spread * draw.normal(size=(16384, 1)))
+    codes = inner_product.Codes.load(inner_product.Codes.fit(x[:4000], 2, 63 * 0.04 / 0.96).dump())
+    columns = np.ascontiguousarray(codes.pack(x).T)
+    of = np.arange(0, 1000, 25)
+    recall = {}
+    for scan in ("tables", "random"):
+        if scan == "random":
+            codes.scan = lambda query, columns: draw.integers(0, 1 << 20, columns.shape[1]).astype(np.uint32)
+        a, b, _ = inner_product.best(codes, of, x[of], np.arange(len(x)), np.arange(len(x)), x, columns, 20, 400)
+        hits = 0
+        for i, q in enumerate(of):
+            exact = x @ x[q]
+            exact[q] = -np.inf
+            hits += len(set(np.argsort(-exact)[:20]) & set(b[a == i]))
+        recall[scan] = hits / (20 * len(of))
+    assert recall["tables"] >= 0.95 and recall["random"] < 0.2
 
 
 def test_few_and_no_candidates(spark):
