@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_text
@@ -41,13 +41,27 @@ def classify(df: DataFrame, text: Column, exact: dict[str, str], rules: list[tup
     known = F.create_map(*[F.lit(x) for pair in exact.items() for x in pair]) if exact else None
     by_name = known[text] if known is not None else F.lit(None).cast("string")
     by_rule = F.coalesce(*[F.when(text.rlike(p), F.lit(c)) for p, c in rules], F.lit(None).cast("string"))
-    return df.withColumns(
+    # the chain of patterns is matched once a row; what follows reads its result
+    matched = df.withColumn("_by", F.struct(by_name.alias("name"), F.when(by_name.isNull(), by_rule).alias("rule"), (text.isNull() | (text == "")).alias("none")))
+    code = F.coalesce("_by.name", "_by.rule")
+    return matched.withColumns(
         {
-            "code": F.coalesce(by_name, by_rule),
-            "confidence": F.when(by_name.isNotNull(), "high").when(by_rule.isNotNull(), "medium").otherwise("none"),
-            "reason": F.when(F.coalesce(by_name, by_rule).isNotNull(), None).when(text.isNull() | (text == ""), "no text").otherwise("no rule"),
+            "code": code,
+            "confidence": F.when(F.col("_by.name").isNotNull(), "high").when(F.col("_by.rule").isNotNull(), "medium").otherwise("none"),
+            "reason": F.when(code.isNotNull(), None).when(F.col("_by.none"), "no text").otherwise("no rule"),
         }
-    )
+    ).drop("_by")
+
+
+def first_class(text: Column, rules: list[tuple[str, str]], other: str) -> Column:
+    """The class of the first pattern that fits; `other` for texts that none fits and for null."""
+    return F.coalesce(*[F.when(text.rlike(p), F.lit(c)) for p, c in rules], F.lit(other))
+
+
+def validated(df: DataFrame, found: Column, known: DataFrame, key: str, unknown: str = "(unknown)") -> DataFrame:
+    """Adds `key`: what was found (say a district in an address), if the list has it, else `unknown`; no row is lost."""
+    listed = known.select(F.col(key).alias("_known")).distinct()
+    return df.withColumn("_found", found).join(listed, F.col("_found") == F.col("_known"), "left").withColumn(key, F.coalesce("_known", F.lit(unknown))).drop("_found", "_known")
 
 
 def kept_group(group: Column, label: str = "unclassified") -> Column:
@@ -55,10 +69,10 @@ def kept_group(group: Column, label: str = "unclassified") -> Column:
     return F.coalesce(group, F.lit(label))
 
 
-def lookup(df: DataFrame, codes: DataFrame, key: str, max_rows: int = 100_000) -> DataFrame:
-    """Joins a dimension by code, never by name. The dimension is sent to all executors only up to `max_rows` rows."""
-    small = codes.limit(max_rows + 1).count() <= max_rows
-    return df.join(F.broadcast(codes) if small else codes, key, "left")
+def lookup(df: DataFrame, codes: DataFrame, key: str) -> DataFrame:
+    """Joins a dimension by code, never by name. The planner sends it to all executors if its size is under the session's
+    threshold, and shuffles both sides if not."""
+    return df.join(codes, key, "left")
 
 
 def unmatched(df: DataFrame, codes: DataFrame, key: str) -> DataFrame:
@@ -74,7 +88,3 @@ def page_fields(html: Column, url: Column) -> dict[str, Column]:
 def segment(region: Column, home: list[str], capital: list[str]) -> Column:
     """Stayed, went to the capital area, or elsewhere."""
     return F.when(region.isin(home), "stay").when(region.isin(capital), "capital").otherwise("other")
-
-
-def number_rows(df: DataFrame, key: list[str], order: list[Column], name: str = "row_no") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))

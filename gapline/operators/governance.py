@@ -19,12 +19,14 @@ class Measure:
     column: str
     unit: str
     period: str
-    key_kind: str = "code"
+    key_kind: str
 
 
 def compare(a: Measure, b: Measure) -> DataFrame:
-    """key and diff_pp. Counts of unlike periods are refused, names are refused as keys, and there is no ratio form."""
-    if "name" in (a.key_kind, b.key_kind):
+    """key and diff_pp, rounded after the subtraction: give unrounded columns. A share that one side lacks is 0; a count or a
+    value that one side lacks is not. Counts of unlike periods are refused, all keys but codes too, and there is no ratio
+    form."""
+    if (a.key_kind, b.key_kind) != ("code", "code"):
         raise ValueError("results are joined by code, not by name")
     if a.unit != b.unit:
         raise ValueError(f"units differ: {a.unit} and {b.unit}")
@@ -32,7 +34,8 @@ def compare(a: Measure, b: Measure) -> DataFrame:
         raise ValueError("counts of a flow and of a stock do not compare; use percentages")
     left = a.df.select(F.col(a.key).alias("key"), F.col(a.column).alias("_a"))
     right = b.df.select(F.col(b.key).alias("key"), F.col(b.column).alias("_b"))
-    return left.join(right, "key", "full_outer").select("key", F.round(F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)), 1).alias("diff_pp"))
+    side = lambda c: F.coalesce(c, F.lit(0.0)) if a.unit == "percent" else F.col(c)
+    return left.join(right, "key", "full_outer").select("key", F.round(side("_a") - side("_b"), 1).alias("diff_pp"))
 
 
 def register(spark: SparkSession, rows: list[tuple]) -> DataFrame:

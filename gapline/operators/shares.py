@@ -65,3 +65,8 @@ def share_difference(left: DataFrame, right: DataFrame, key: str, least: int = 1
 def top(df: DataFrame, by: str, tie: str, k: int) -> DataFrame:
     """The k largest rows, ties by key; the rest is not marked, so publish the coverage beside it."""
     return df.orderBy(F.desc(by), tie).limit(k)
+
+
+def ranked(df: DataFrame, by: str, tie: str) -> DataFrame:
+    """A result set in its published order: adds `position`, largest first, ties by key. For results, a row a group."""
+    return df.withColumn("position", F.row_number().over(Window.orderBy(F.desc(by), tie)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..functions.scalars import complement, one_decimal
 from ..operators import cleaning, gaps, governance, quality, rates, shares
 from ..sources import landed, sinks
 from ..sources.tables import table
+from . import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -20,6 +22,9 @@ URGENT = "1-URGENT"
 NATION_GROUPS = {"group_a": 0.75, "group_b": 0.25}
 CODE_RULES = [("(?i)\\bidiot|\\bmoron|\\bscum", "900001"), ("(?i)token = |password", "900002")]
 CODES = [("en", "100001", "west"), ("de", "100002", "west"), ("fr", "100003", "south")]
+EDUCATION = [("^(STANDARD|SMALL)", "high_school"), ("^(MEDIUM|LARGE)", "associate"), ("^ECONOMY", "no_requirement"), ("^PROMO", "bachelor_plus")]
+INDUSTRIES = [("BUILD|FURNI", "construction"), ("MACHIN", "manufacturing")]
+FIELDS = [("Brand#11", "engineering"), ("Brand#12", "engineering"), ("Brand#21", "education")]
 
 
 def query(sql: str | None):
@@ -351,19 +356,98 @@ def metric_register(spark, d):
 
 
 @query("""
-WITH a AS (SELECT c_mktsegment AS k, round(100.0e0 * count(*) / sum(count(*)) OVER (), 1) AS s FROM customer GROUP BY 1),
-b AS (SELECT c_mktsegment AS k, round(100.0e0 * count(*) / sum(count(*)) OVER (), 1) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
-SELECT a.k AS key, round(a.s - b.s, 1) AS diff_pp FROM a JOIN b ON a.k = b.k""")
+WITH a AS (SELECT c_nationkey AS k, 100.0e0 * count(*) / sum(count(*)) OVER () AS s FROM customer GROUP BY 1),
+b AS (SELECT c_nationkey AS k, 100.0e0 * count(*) / sum(count(*)) OVER () AS s FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 3 GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS key, round(coalesce(a.s, 0) - coalesce(b.s, 0), 1) AS diff_pp FROM a FULL JOIN b ON a.k = b.k""")
 def governed_comparison(spark, d):
-    """A year's flow and a day's stock compare in percentage points only."""
-    a = shares.distribution(table(spark, d, "customer"), F.col("c_mktsegment"))
-    b = shares.distribution(_orders_by_nation(spark, d), F.col("c_mktsegment"))
-    return governance.compare(governance.Measure(a, "category", "pct", "percent", "flow"), governance.Measure(b, "category", "pct", "percent", "stock"))
+    """A year's flow and a day's stock compare in percentage points only, joined by code and rounded last."""
+    nobody = F.lit(False)
+    a = shares.classified_shares(table(spark, d, "customer"), "c_nationkey", "share", nobody)
+    b = shares.classified_shares(_orders_by_nation(spark, d).filter("c_nationkey <> 3"), "c_nationkey", "share", nobody)
+    return governance.compare(governance.Measure(a, "c_nationkey", "share", "percent", "flow", "code"), governance.Measure(b, "c_nationkey", "share", "percent", "stock", "code"))
 
 
-@query(None)
+@query("""
+WITH c AS (SELECT CASE WHEN regexp_matches(p_type, '^(STANDARD|SMALL)') THEN 'high_school' WHEN regexp_matches(p_type, '^(MEDIUM|LARGE)') THEN 'associate'
+  WHEN regexp_matches(p_type, '^ECONOMY') THEN 'no_requirement' WHEN regexp_matches(p_type, '^PROMO') THEN 'bachelor_plus' ELSE 'unstated' END AS education FROM part)
+SELECT education AS category, count(*) AS n, round(100.0e0 * count(*) / sum(count(*)) OVER (), 1) AS pct FROM c GROUP BY 1""")
+def education_classes(spark, d):
+    return shares.distribution(table(spark, d, "part"), cleaning.first_class(F.col("p_type"), EDUCATION, "unstated"))
+
+
+@query("""
+SELECT CASE WHEN regexp_matches(c_mktsegment, 'BUILD|FURNI') THEN 'construction' WHEN regexp_matches(c_mktsegment, 'MACHIN') THEN 'manufacturing' ELSE '(unknown)' END AS industry,
+  count(*) AS n, round(100.0e0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 1) AS finished, count(*) < 100 AS low_sample
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
+def industry_buckets(spark, d):
+    rows = _orders_by_nation(spark, d).withColumn("industry", cleaning.first_class(F.col("c_mktsegment"), INDUSTRIES, "(unknown)"))
+    return rates.conditional_rates(rows, "industry", {"finished": F.col("o_orderstatus") == "F"})
+
+
+@query("""
+WITH known(district) AS (VALUES ('en'), ('de'), ('fr')), f AS (SELECT regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)', 1) AS found FROM pages)
+SELECT coalesce(district, '(unknown)') AS district, count(*) AS n FROM f LEFT JOIN known ON found = district GROUP BY 1""")
+def district_from_address(spark, d):
+    known = spark.createDataFrame([("en",), ("de",), ("fr",)], "district string")
+    found = F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]+)", 1)
+    return shares.totals(cleaning.validated(table(spark, d, "pages").select("url"), found, known, "district"), "district")
+
+
+@query("""
+WITH fields(p_brand, field) AS (VALUES ('Brand#11', 'engineering'), ('Brand#12', 'engineering'), ('Brand#21', 'education'))
+SELECT coalesce(field, '(unknown)') AS field, CAST(sum(p_size) AS BIGINT) AS n FROM part LEFT JOIN fields USING (p_brand) GROUP BY 1""")
+def graduates_by_field(spark, d):
+    """Majors go to fields by code; a field's graduates are the sum of a column, not of rows."""
+    rows = cleaning.lookup(table(spark, d, "part").select("p_brand", "p_size"), spark.createDataFrame(FIELDS, "p_brand string, field string"), "p_brand")
+    return shares.totals(rows.select(cleaning.kept_group(F.col("field"), "(unknown)").alias("field"), "p_size"), "field", F.col("p_size"))
+
+
+@query("""
+SELECT n_regionkey, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS people
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+def population_by_region(spark, d):
+    """Small areas with their numbers of people are summed up to larger ones."""
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    rows = cleaning.lookup(table(spark, d, "customer").select("c_nationkey", "c_acctbal"), nation, "c_nationkey")
+    return shares.totals(rows, "n_regionkey", F.round(F.col("c_acctbal") * 100).cast("long")).withColumnRenamed("n", "people")
+
+
+@query("""
+SELECT p_brand, n, row_number() OVER (ORDER BY n DESC, p_brand) AS position FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)""")
+def sorted_result_set(spark, d):
+    return shares.ranked(shares.totals(table(spark, d, "part"), "p_brand"), "n", "p_brand")
+
+
+@query(r"""
+WITH c AS (SELECT doc_id, lang, source, nullif(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '') AS clean FROM documents),
+n AS (SELECT * FROM c WHERE length(clean) >= 20),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clean, source ORDER BY doc_id) AS k FROM n) WHERE k = 1),
+r AS (SELECT * FROM m WHERE lang = 'en'),
+k AS (SELECT * FROM r WHERE regexp_matches(clean, '(?i)\bidiot|\bmoron|\bscum|token = |password'))
+SELECT 0 AS stage_no, 'collected' AS stage, count(*) AS n FROM documents UNION ALL SELECT 1, 'normalised', count(*) FROM n
+UNION ALL SELECT 2, 'merged', count(*) FROM m UNION ALL SELECT 3, 'region', count(*) FROM r UNION ALL SELECT 4, 'classified', count(*) FROM k""")
+def whole_run(spark, d):
+    """From landed rows to classified items, a table for each stage, in the session's shared folder or its warehouse."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    rules = jobs.Rules("text", ["clean", "source"], [F.col("doc_id")], F.col("lang") == "en", {}, CODE_RULES, 20)
+    return jobs.prepare(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), rules, f"{base}/whole_run-{uuid.uuid4().hex}")
+
+
+@query("""
+WITH t AS (SELECT p_type AS category, count(*) AS n, round(100.0e0 * count(*) / sum(count(*)) OVER (), 1) AS pct FROM part GROUP BY 1),
+c AS (SELECT count(*) AS n0, count(*) FILTER (o_orderstatus = 'F') AS n1,
+  count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') AS n2,
+  count(*) FILTER (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_totalprice >= 100000) AS n3 FROM orders),
+s AS (SELECT 0 AS step, 'all' AS label, n0 AS n, n0 AS f FROM c UNION ALL SELECT 1, '+ finished', n1, n0 FROM c
+  UNION ALL SELECT 2, '+ urgent', n2, n0 FROM c UNION ALL SELECT 3, '+ large', n3, n0 FROM c),
+f AS (SELECT step, label, n, round(100.0e0 * n / nullif(f, 0), 1) AS pct FROM s),
+l AS (SELECT coalesce(string_agg(p_brand, ',' ORDER BY p_brand), '') AS low_groups FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) WHERE n < 75)
+SELECT CAST(to_json(struct_pack(
+  edu_total := (SELECT list(struct_pack(category := category, n := n, pct := pct) ORDER BY pct DESC, category) FROM t),
+  funnel := (SELECT list(struct_pack(label := label, n := n, pct := pct) ORDER BY step) FROM f),
+  quality := (SELECT struct_pack(min_sample := 75, low_groups := low_groups) FROM l))) AS VARCHAR) AS document""")
 def json_document(spark, d):
-    """One JSON document of several result sets; checked by a round trip in the tests."""
+    """One JSON document of several result sets."""
     total = sinks.as_array(edu_total_distribution(spark, d), "edu_total", [-F.col("pct"), F.col("category")], ["category", "n", "pct"])
     funnel = sinks.as_array(funnel_cumulative(spark, d), "funnel", [F.col("step")], ["label", "n", "pct"])
     low = low_sample_groups(spark, d).select(F.struct("min_sample", "low_groups").alias("quality"))

@@ -16,6 +16,7 @@ POSTINGS = (
 CODES = "code6 string, name string, major string"
 GRADUATES = "field string, graduates bigint, year int"
 POPULATION = "district string, subdistrict string, age_band string, people double"
+POLICIES = "project string, budget double"
 
 
 def combined(parts: dict[str, DataFrame], name: str) -> DataFrame:
@@ -33,6 +34,28 @@ def statistics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True)
 
 
+def postings(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """The landed postings of all sites (JSON lines, a path a site), with the site of each."""
+    return combined({site: spark.read.schema(POSTINGS).json(path).drop("site") for site, path in paths.items()}, "site")
+
+
+def graduates(spark: SparkSession, path: str) -> DataFrame:
+    return statistics(spark, path, GRADUATES)
+
+
+def population(spark: SparkSession, path: str) -> DataFrame:
+    return statistics(spark, path, POPULATION)
+
+
+def policies(spark: SparkSession, path: str) -> DataFrame:
+    return statistics(spark, path, POLICIES)
+
+
+def code_master(spark: SparkSession, path: str) -> DataFrame:
+    """Codes stay strings: leading zeros count."""
+    return statistics(spark, path, CODES)
+
+
 def months(df: DataFrame, month: str, first: str, last: str) -> DataFrame:
     """Rows of a range of months, both ends included."""
     return df.filter(F.trunc(F.col(month).cast("date"), "month").between(F.lit(first).cast("date"), F.lit(last).cast("date")))

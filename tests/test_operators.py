@@ -108,7 +108,7 @@ def test_as_of_includes_both_ends_and_open_ends(spark):
 
 def test_comparisons_are_governed(spark):
     df = spark.createDataFrame([("a", 2.0)], "k string, v double")
-    flow, stock = governance.Measure(df, "k", "v", "count", "flow"), governance.Measure(df, "k", "v", "count", "stock")
+    flow, stock = governance.Measure(df, "k", "v", "count", "flow", "code"), governance.Measure(df, "k", "v", "count", "stock", "code")
     with pytest.raises(ValueError, match="flow"):
         governance.compare(flow, stock)
     with pytest.raises(ValueError, match="code"):
@@ -125,3 +125,20 @@ def test_two_denominators_and_stages(spark):
     got = quality.two_denominators(df, "g", F.col("y") == 1, F.col("y").isNotNull()).first()
     assert (got["rate_all"], got["rate_stated"]) == (25.0, 50.0)
     assert one(quality.stage_counts(df, [("all", F.lit(True)), ("stated", F.col("y").isNotNull())])) == [(0, "all", 4), (1, "stated", 2)]
+
+
+def test_comparisons_round_last_and_fill_shares_only(spark):
+    a = spark.createDataFrame([("x", 18.94), ("y", 1.0)], "k string, v double")
+    b = spark.createDataFrame([("x", 9.06)], "k string, v double")
+    of = lambda df, unit: governance.Measure(df, "k", "v", unit, "flow", "code")
+    assert {r["key"]: r["diff_pp"] for r in governance.compare(of(a, "percent"), of(b, "percent")).collect()} == {"x": 9.9, "y": 1.0}
+    assert {r["key"]: r["diff_pp"] for r in governance.compare(of(a, "value"), of(b, "value")).collect()} == {"x": 9.9, "y": None}
+
+
+def test_classes_and_districts_keep_every_row(spark):
+    df = spark.createDataFrame([("부산 강서구 1",), ("x",), (None,)], "address string")
+    known = spark.createDataFrame([("강서구",), ("강서구",)], "district string")
+    got = cleaning.validated(df, F.regexp_extract("address", "(\\S+구)", 1), known, "district").collect()
+    assert sorted(r["district"] for r in got) == ["(unknown)", "(unknown)", "강서구"]
+    classes = df.select(cleaning.first_class(F.col("address"), [("부산", "a"), ("구", "b")], "none").alias("c")).collect()
+    assert [r["c"] for r in classes] == ["a", "none", "none"]

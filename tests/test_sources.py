@@ -3,7 +3,7 @@ import json
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gapline.plans import catalogue
+from gapline.plans import catalogue, jobs
 from gapline.sources import landed, sinks
 
 FOLDER = "/root/testdata/sf0.001"
@@ -49,3 +49,26 @@ def test_union_fills_missing_columns_and_licences_exclude(spark):
     assert landed.without_sources(both, spark.createDataFrame([("two",)], "site string"), "site").count() == 1
     months = spark.sql("SELECT date'2025-08-31' AS m UNION ALL SELECT date'2026-08-01'").transform(lambda x: landed.months(x, "m", "2025-08-01", "2026-07-01"))
     assert months.agg(F.count("*")).first()[0] == 1
+
+
+def test_landed_files_have_their_schemas(spark, tmp_path):
+    for site, more in (("one", '"title": "a", "start_date": "2026-09-01"'), ("two", '"company": "b"')):
+        (tmp_path / site).write_text('{"posting_id": "%s", %s}\n' % (site, more))
+    got = landed.postings(spark, {site: str(tmp_path / site) for site in ("one", "two")})
+    assert set(got.columns) == {c.split()[0] for c in landed.POSTINGS.split(", ")}
+    assert {(r["posting_id"], r["site"], r["title"], str(r["start_date"])) for r in got.collect()} == {("one", "one", "a", "2026-09-01"), ("two", "two", None, "None")}
+    (tmp_path / "codes.csv").write_text("code6,name,major\n012345,x,y\n")
+    assert landed.code_master(spark, str(tmp_path / "codes.csv")).first()["code6"] == "012345"
+    for read, text, total in ((landed.graduates, "field,graduates,year\na,3,2024\nb,4,2024\n", ("graduates", 7)), (landed.population, "district,subdistrict,age_band,people\na,b,20,1.5\n", ("people", 1.5)), (landed.policies, "project,budget\np,2.5\nq,1\n", ("budget", 3.5))):
+        (tmp_path / "s.csv").write_text(text)
+        assert read(spark, str(tmp_path / "s.csv")).agg(F.sum(total[0])).first()[0] == total[1]
+
+
+def test_whole_run_writes_a_table_a_stage(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Good  Post", "a"), (2, "good post", "a"), (3, " ", "a"), (4, None, "b"), (5, "other thing", "b")], "id int, t string, region string")
+    rules = jobs.Rules("t", ["clean"], [F.col("id")], F.col("region") == "a", {"good post": "100001"})
+    for _ in range(2):  # reruns replace
+        got = {r["stage"]: r["n"] for r in jobs.prepare(df, rules, str(tmp_path)).collect()}
+    assert got == {"collected": 5, "normalised": 3, "merged": 2, "region": 1, "classified": 1}
+    assert spark.read.parquet(f"{tmp_path}/rejected").count() == 2
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/classified").select("id", "code", "confidence").collect()] == [(1, "100001", "high")]
