@@ -358,7 +358,7 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, num: int, den: int,
         placed = left.select("name", "hub", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         held = placed.groupBy("name").agg(F.min("component").alias("_x"), F.max("component").alias("_y"))
         # components only grow: buckets that hold one stay closed, and so do those without a pair that passes
-        left = kept(placed.join(held.filter("_x <> _y").select("name"), "name"))
+        left = kept(placed.join(kept(held.filter("_x <> _y").select("name")), "name"))
         if left.isEmpty():
             break
         passed = kept(_compared(left, faces, num, den, nearest, large))
@@ -367,7 +367,7 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, num: int, den: int,
             more = _verified(rest, faces, texts, size, num, den)
             found = kept(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
             tested = tested.union(rest)
-        left = left.join(passed.select("name").distinct(), "name", "left_semi")
+        left = left.join(kept(passed.select("name").distinct()), "name", "left_semi")
 
     # every row goes to its class, the class to its component; what is joined to is written, so that large ones are split
     rep = base.join(classes.drop("_k"), ["fp1", "fp2", "n"], "left").withColumn("rep", F.coalesce("b", "node"))
