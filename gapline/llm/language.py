@@ -9,7 +9,9 @@ byte is labelled in one window only.
 
 It is trained in numpy, by backpropagation through time with Adam, in one executor task. The sample has about `max_rows`
 texts of each language, for the `max_languages` commonest ones, and reading ends once it holds `max_bytes`; each step
-draws windows of any place of any sampled text, and half of them stand alone between blanks, as short texts do.
+draws windows of any place of any sampled text, and half of them stand alone between blanks, as short texts do. One
+more output stands for no learned language: it is taught with windows whose letters were swapped for others or whose bytes
+were shuffled. It takes probability from texts in languages that were not learned, and is never predicted.
 
 Defined results: `und` with score 0 for texts that are null or have no letter, and for all if nothing could be learned;
 rows with a null language teach nothing; ties go to the smaller language; repeated rows are judged each, with the same
@@ -57,16 +59,16 @@ def windows(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndar
 
 
 class Network:
-    """table: (2, 256, 3H) input weights of each byte with biases, inner: (2, H, 3H), out: (2, H, L), bias: (L).
-    The first 2H columns are the update and reset gates, the last H the new state."""
+    """table: (2, 256, 3H) input weights of each byte with biases, inner: (2, H, 3H), out: (2, H, L + 1), bias: (L + 1);
+    the last output stands for none of the L languages. The first 2H columns are the update and reset gates, the last H the new state."""
 
     def __init__(self, languages: list[str], hidden: int = 12, seed: int = 3):
         self.languages, self.h = languages, hidden
         draw = np.random.default_rng(seed)
         self.table = draw.normal(0, 0.3, (2, 256, 3 * hidden)).astype(np.float32)
         self.inner = draw.normal(0, hidden**-0.5, (2, hidden, 3 * hidden)).astype(np.float32)
-        self.out = draw.normal(0, hidden**-0.5, (2, hidden, len(languages))).astype(np.float32)
-        self.bias = np.zeros(len(languages), np.float32)
+        self.out = draw.normal(0, hidden**-0.5, (2, hidden, len(languages) + 1)).astype(np.float32)
+        self.bias = np.zeros(len(languages) + 1, np.float32)
 
     def dump(self) -> bytes:
         head = json.dumps([self.languages, self.h]).encode()
@@ -84,10 +86,10 @@ class Network:
         return net
 
     def label(self, x: np.ndarray) -> np.ndarray:
-        """Log probabilities (core, L, n) of the bytes between the contexts of x (CONTEXT + core + CONTEXT, n)."""
+        """Log probabilities (core, L + 1, n) of the bytes between the contexts of x (CONTEXT + core + CONTEXT, n)."""
         steps, n = x.shape
         core, hidden = steps - 2 * CONTEXT, self.h
-        scores = np.empty((core, len(self.languages), n), np.float32)
+        scores = np.empty((core, len(self.bias), n), np.float32)
         scores[:] = self.bias[:, None]
         # sigmoid(u) = (1 + tanh(u / 2)) / 2: the halves are put into the weights
         half = np.repeat(np.array([0.5, 1], np.float32), (2 * hidden, hidden))
@@ -181,6 +183,18 @@ class Network:
         return loss, g
 
 
+def unlike(text: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """Bytes that are in no language: of one text with its letters swapped for others, or shuffled (all but blanks)."""
+    if draw.random() < 0.7:
+        other = np.arange(256, dtype=np.uint8)
+        for low, high in ((0x61, 0x7B), (0x80, 0xC0)):
+            other[low:high] = low + draw.permutation(high - low)
+        return other[text]
+    out, of = text.copy(), np.flatnonzero(text != BLANK)
+    out[of] = text[draw.permutation(of)]
+    return out
+
+
 def fit(rows: Iterator[tuple[pa.Array, list[str]]], hidden: int = 12, steps: int = 240, batch: int = 192, core: int = 32, rate: float = 0.02, seed: int = 5, max_bytes: int = 64 << 20) -> bytes:
     """A trained network from parts of texts and their languages."""
     parts, lengths, languages, read = [], [], [], 0
@@ -206,13 +220,16 @@ def fit(rows: Iterator[tuple[pa.Array, list[str]]], hidden: int = 12, steps: int
     moments = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in NAMES}
     inside = np.arange(-CONTEXT, core + CONTEXT)[:, None]
     for step in range(1, steps + 1):
-        y = draw.integers(0, len(names), batch)  # languages, then their texts, then places
-        row = np.array([of[k][draw.integers(0, len(of[k]))] for k in y])
+        y = draw.integers(0, len(names) + 1, batch)  # languages, then their texts, then places
+        source = np.where(y < len(names), y, draw.integers(0, len(names), batch))
+        row = np.array([of[k][draw.integers(0, len(of[k]))] for k in source])
         first = starts[row] + (draw.random(batch) * np.maximum(stops[row] - starts[row] - core // 2, 1)).astype(np.int64)
         length = np.minimum(core, stops[row] - first)
         alone = draw.random(batch) < 0.5
         length = np.where(alone, np.ceil(length * draw.random(batch)).astype(np.int64).clip(1), length)
         x = windows(data, np.where(alone, first, starts[row]), np.where(alone, first + length, stops[row]), first, core)
+        for i in np.flatnonzero(y == len(names)):
+            x[:, i] = unlike(x[:, i], draw)
         _, g = net.gradients(x.astype(np.intp), y, ((inside >= 0) & (inside < length)).astype(np.float32))
         now = rate * min(1, step / 10) * (1 - 0.95 * step / steps)
         for k in NAMES:
@@ -230,14 +247,14 @@ def _network(name: str) -> Network:
 
 
 def pooled(net: Network, texts: pa.Array, side: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums of log probabilities and of probabilities over all bytes of each text (n, L), and the bytes of each."""
+    """Sums of log probabilities and of probabilities over all bytes of each text (n, L + 1), and the bytes of each."""
     data, offsets = read_bytes(texts)
     size = np.diff(offsets)
     many = -(-size // CORE)
     doc = np.repeat(np.arange(len(size)), many)
     first = offsets[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * CORE
     length = np.minimum(offsets[1:][doc] - first, CORE)
-    logs, plain = np.zeros((len(size), len(net.languages))), np.zeros((len(size), len(net.languages)))
+    logs, plain = np.zeros((len(size), len(net.bias))), np.zeros((len(size), len(net.bias)))
     # windows of like lengths side by side
     order = np.argsort(length, kind="stable")
     steps = -(-length[order] // 32) * 32
@@ -260,7 +277,7 @@ def predict(net: Network, texts: pa.Array) -> pa.StructArray:
     lettered = pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False).to_numpy(zero_copy_only=False)
     for part in slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t", 4 << 20) if net.languages else ():
         logs, plain, n = pooled(net, part.column(0))
-        best = logs.argmax(1)
+        best = logs[:, : len(net.languages)].argmax(1)
         names.append(np.array(net.languages, object)[best])
         chosen.append(plain[np.arange(len(best)), best] / np.maximum(n, 1))
     name = np.concatenate(names) if names else np.full(len(texts), UNKNOWN, object)

@@ -11,7 +11,8 @@ Items are dealt to groups of about `group_rows` at random (a hash of row and see
 groups have no hot key, and a group's bins depend on nothing else. In a group only counts for each length are searched,
 so work grows with items and lengths, not with pairs.
 
-Defined results: null and empty texts have no words and take no place; repeated rows are packed each; of bins with the
+Defined results: null, empty and blank texts have no words and take no place; very long ones fill sequences of the longest
+length; columns named like a result (in any case of letters) are replaced; repeated rows are packed each; of bins with the
 same room the one that came to it last is filled; an empty table gives an empty result; no word is lost or placed twice.
 """
 
@@ -117,7 +118,8 @@ def pack_documents(docs: DataFrame, text: str = "text", sizes: tuple[int, ...] =
     words of the piece, and the row's other columns but its text."""
     sizes = tuple(sorted(set(sizes)))
     most = sizes[-1]
-    keep = [c for c in docs.columns if c not in (text, "bin", "capacity", "used", "slot", "offset", "start", "words", "_row", "_words")]
+    taken = {"bin", "capacity", "used", "slot", "offset", "start", "words", "_row", "_words", "_group", "_k"}
+    keep = [c for c in docs.columns if c != text and c.lower() not in taken]
     sized, _ = written(
         docs.select(*[F.col(f"`{c}`") for c in keep], word_count(F.col(f"`{text}`")).alias("_words")).withColumn("_row", F.monotonically_increasing_id())
     )

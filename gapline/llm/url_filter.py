@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import local_file, lower_ascii, ship
+from .shared import local_file, lower_ascii, ship, written
 
+MOST_LENGTHS = 256
 URL_PARTS = "://([^/?#]*)([^?#]*)"
 
 
@@ -144,24 +145,29 @@ def _parts(df: DataFrame, url: str) -> DataFrame:
     )
 
 
-def filter_urls_by_join(df: DataFrame, rules: DataFrame, key: str, url: str = "url", default: str = "allow", max_labels: int = 8, path_lengths: tuple[int, ...] = (1,)) -> DataFrame:
-    """The same for rules (key string, verdict string) of any size: probes and rules are range-joined by digest, and
-    full strings confirm. `key` names a unique column of df; `max_labels` and `path_lengths` bound the rules' hosts and
-    list their paths' lengths, and must cover them."""
-    parted = _parts(df, url).filter("startswith(path, '/')")
+def filter_urls_by_join(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+    """The same for rules (rule string, verdict string) of any size: probes and rules are joined by digest and full string.
+    The rules' most host labels and their paths' lengths (numbers, not rules) are collected and bound the probes."""
+    # numbers of rows hold only while nothing is computed again
+    numbered, _ = written(df.withColumn("_judged_row", F.monotonically_increasing_id()))
+    parted = _parts(numbered, url)
+    slash = F.instr("rule", "/")
+    shape = rules.select((F.size(F.split(F.substring_index("rule", "/", 1), "\\.")).alias("labels")), (F.length("rule") - slash + 1).alias("path"))
+    most = shape.agg(F.max("labels")).first()[0] or 1
+    lengths = [r[0] for r in shape.select("path").distinct().orderBy("path").limit(MOST_LENGTHS + 1).collect()]
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"the rules' paths have more than {MOST_LENGTHS} lengths")
     labels = F.split("host", "\\.")
     tails = F.transform(
-        F.sequence(F.greatest(F.size(labels) - max_labels, F.lit(0)), F.size(labels) - 1),
+        F.sequence(F.greatest(F.size(labels) - most, F.lit(0)), F.size(labels) - 1),
         lambda k: F.array_join(F.slice(labels, k + 1, F.size(labels)), "."),
     )
-    probes = parted.select(key, "path", F.explode(tails).alias("_tail"))
-    probes = probes.select(
-        key, F.explode(F.array_distinct(F.array(*[F.concat("_tail", F.substring("path", 1, n)) for n in path_lengths]))).alias("rule")
-    ).withColumn("_d", F.xxhash64("rule"))
+    probes = parted.filter("startswith(path, '/')").select("_judged_row", "path", F.explode(tails).alias("_tail"))
+    heads = F.array(*[F.when(F.length("path") >= n, F.concat("_tail", F.substring("path", 1, n))) for n in lengths]) if lengths else F.array().cast("array<string>")
+    probes = probes.select("_judged_row", F.explode(heads).alias("rule")).filter("rule is not null").withColumn("_d", F.xxhash64("rule"))
     stored = rules.select(F.col("rule"), F.col("verdict")).withColumn("_d", F.xxhash64("rule"))
-    best = probes.join(stored, ["_d", "rule"]).groupBy(key).agg(
+    best = probes.join(stored, ["_d", "rule"]).groupBy(F.col("_judged_row").alias("_judged_of")).agg(
         F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), F.col("rule"))).alias("_j")
     )
-    return _parts(df, url).join(best, key, "left").withColumns(
-        {"rule": F.col("_j.rule"), "verdict": F.coalesce(F.col("_j.verdict"), F.lit(default))}
-    ).drop("_j")
+    out = parted.join(best, F.col("_judged_of") == F.col("_judged_row"), "left")
+    return out.withColumns({"rule": F.col("_j.rule"), "verdict": F.coalesce(F.col("_j.verdict"), F.lit(default))}).drop("_j", "_judged_row", "_judged_of")

@@ -296,7 +296,7 @@ def test_every_opening_takes_the_cheapest_size_of_what_is_left(monkeypatch):
 
 
 def test_packing_on_odd_and_empty_tables(odd, empty):
-    got = packing.pack_documents(odd.select("*", F.lit(1).alias("used"), F.lit(2).alias("_row"))).toPandas()
+    got = packing.pack_documents(odd.select("*", F.lit(1).alias("Used"), F.lit(2).alias("_row"))).toPandas()
     assert got["words"].sum() == sum(len(tokens(r[1])) for r in ODD)
     assert packing.pack_documents(empty).count() == 0
 
@@ -312,7 +312,7 @@ def test_language_on_held_out_rows(spark):
 
 def test_language_stage_rejects_an_unlearned_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    for hidden in ("de", "fr"):
+    for hidden in ("de", "es", "fr"):
         blind = docs.withColumn("lang", F.when(F.col("lang") != hidden, F.col("lang")))
         kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, blind, "").select("doc_id").collect()}
         rows = docs.filter(F.col("text").rlike(r"\pL")).select("doc_id", "lang").collect()
@@ -330,7 +330,7 @@ def naive_labels(net, data):
     """Log probabilities of every byte of one text: the recurrence, a number at a time over single bytes."""
     sigmoid = lambda u: 1 / (1 + np.exp(-u))
     padded, h = [32] * language.CONTEXT + list(data) + [32] * (language.CONTEXT + -len(data) % 32), net.h
-    sums = np.zeros((len(padded), len(net.languages))) + net.bias
+    sums = np.zeros((len(padded), len(net.bias))) + net.bias
     for way in (0, 1):
         table, inner, state = net.table[way].astype(float), net.inner[way].astype(float), np.zeros(h)
         for t in range(len(padded)) if way == 0 else reversed(range(len(padded))):

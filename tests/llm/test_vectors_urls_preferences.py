@@ -189,8 +189,11 @@ def test_urls_are_judged_as_rules_say(spark):
     assert url_filter.filter_urls(df.limit(0), RULES).count() == 0
     assert {r["verdict"] for r in url_filter.filter_urls(df, {}).collect()} == {"allow"}
     rules = spark.createDataFrame(list(RULES.items()), "rule string, verdict string")
-    joined = url_filter.filter_urls_by_join(df.select("page_id", "url"), rules, "page_id", path_lengths=(1, 3, 4)).orderBy("page_id").collect()
+    joined = url_filter.filter_urls_by_join(df.select("page_id", "url"), rules).orderBy("page_id").collect()
     assert [(r["rule"], r["verdict"]) for r in joined] == [judged(u)[2:] for u in URLS]
+    nobody = url_filter.filter_urls_by_join(df.withColumn("page_id", F.lit(None).cast("long")), rules)  # no key is needed
+    assert sorted(r["rule"] or "" for r in nobody.collect()) == sorted(r["rule"] or "" for r in joined)
+    assert {r["verdict"] for r in url_filter.filter_urls_by_join(df, rules.limit(0)).collect()} == {"allow"}
 
 
 def test_digest_collisions_are_confirmed_by_strings(tmp_path):
