@@ -84,6 +84,13 @@ def test_language_model_is_brute_force(docs):
     check_model(docs, [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_shards_from_the_bytes_of_text_change_no_score(docs):
+    few, many = ({r["id"]: r for r in ngram_lm.score(docs, crc_fold(F.col("doc_id"), 7) == 2, shard_bytes=b).collect()} for b in (1 << 30, 1 << 14))
+    assert few.keys() == many.keys()
+    for i, r in few.items():
+        assert r[:6] == many[i][:6] and r["score"] == pytest.approx(many[i]["score"], abs=5e-5 * r["n_tokens"])
+
+
 def test_language_model_on_odd_and_empty_tables(odd, empty):
     check_model(odd, [r[:2] for r in ODD])
     assert ngram_lm.score(empty, F.lit(False)).count() == 0
