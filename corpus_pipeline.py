@@ -22,11 +22,11 @@ def _beside(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no known language. The network learns from a bounded sample of four fifths of the rows with a
-    language; the others give the least score of each language."""
+    """Rejects documents in no known language. Every byte of four fifths of the rows with a language teaches the network;
+    all the others give the least score of each language."""
     held_out = F.coalesce(crc_fold(F.col("doc_id"), 5) == 0, F.lit(False))
     known = docs.select("doc_id", "text", "lang")
-    model = language.train(known.filter(~held_out))
+    model = language.train_on_all(known.filter(~held_out))
     least = F.lit(1.0)
     for name, bound in language.least_scores(known.filter(held_out), model, LOST_LANGUAGE_SHARE).items():
         least = F.when(F.col("lang_pred") == name, bound).otherwise(least)

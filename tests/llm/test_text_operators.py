@@ -435,6 +435,49 @@ def test_texts_of_every_length_teach():
     assert language.predict(net, pa.array(["cd ab cd ab", "zw xy xy zw"])).field(0).to_pylist() == ["aa", "bb"]
 
 
+def test_pieces_have_every_byte_once():
+    offsets = np.cumsum([0, 5, 0, 700, 224, 1])
+    for alone in (0.0, 0.5, 1.0):
+        doc, first, length, by_itself = language.pieces(offsets, 224, alone, np.random.default_rng(1))
+        assert sorted(x for a, n in zip(first, length) for x in range(a, a + n)) == list(range(930))
+        assert all(offsets[d] <= a and a + n <= offsets[d + 1] for d, a, n in zip(doc, first, length))
+        assert length[by_itself].max(initial=0) <= 32 and by_itself.any() == (alone > 0)
+
+
+def test_every_row_teaches_and_layout_does_not_matter(spark):
+    rows = [(i, ("ab ba abba " if i % 2 else "yz zy zyyz ") * 8, ("aa", "bb")[i % 2]) for i in range(60)]
+    schema, options = "doc_id long, text string, lang string", {"max_rows": 4, "steps": 20, "shard": 1000}
+    df = spark.createDataFrame(rows, schema)
+    nets = [language.train_on_all(x, **options) for x in (df, df.repartition(7))]
+    assert nets[0] == nets[1]
+    # a row that the first sample is without
+    for i in range(60):
+        changed = spark.createDataFrame([(k, t.replace("b", "c").replace("z", "x") if k == i else t, n) for k, t, n in rows], schema)
+        if language.train(changed, max_rows=4, steps=20) == language.train(df, max_rows=4, steps=20):
+            break
+    assert language.train_on_all(changed, **options) != nets[0]
+
+
+def test_all_rows_of_odd_and_empty_tables_teach(odd, empty):
+    assert language.Network.load(language.train_on_all(odd)).languages == language.Network.load(language.train(odd)).languages
+    assert language.train_on_all(empty) == language.train(empty)
+
+
+def test_least_scores_count_all_rows(spark):
+    draw = np.random.default_rng(2)
+    word = lambda: "".join(draw.choice(list("abcdefg"), 4))
+    rows = [(i, " ".join(word() for _ in range(1 + i % 7)), "aa") for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(iter([(pa.array([" ".join(word() for _ in range(50)), "opq rstu opru stuq " * 10]), ["aa", "bb"])]), steps=60)
+    net = language.Network.load(model)
+    got = language.predict(net, pa.array([t for _, t, _ in rows]))
+    scores = np.sort(got.field(1).to_numpy()[np.array(got.field(0).to_pylist()) == "aa"])
+    for lost in (0.3, 0.6):
+        exact = np.floor(scores[int(lost * len(scores))] * 10_000) / 10_000
+        assert exact > 0.75
+        assert language.least_scores(docs, model, lost) == {"aa": pytest.approx(exact, abs=1e-4), "bb": 0.75}
+
+
 def test_language_on_odd_and_empty_tables(odd, empty):
     model = language.train(odd)
     got = [(r["lang_pred"], r["score"]) for r in language.identify(odd, model).collect()]
