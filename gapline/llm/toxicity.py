@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, learned, local_file, ship, without
+from .shared import lean, learned, local_file, ship, small_batches, without
 from .text import coded, mix, slices, words
 
 STEMS = (5, 7)
@@ -126,7 +126,7 @@ def fit(rows: Iterator[tuple[pa.Array, list[int]]], bits: int = 22, alpha: float
     examples, labels, read = [], [], 0  # parts of a few flat arrays
     for texts, known in rows:
         batch = pa.RecordBatch.from_arrays([texts, pa.array(known, pa.int32())], ["t", "y"])
-        for part in slices(batch, "t", 2 << 20):
+        for part in slices(batch, "t", 1 << 20):
             if read > max_bytes:
                 break
             read += sum(x or 0 for x in pc.binary_length(part.column("t")).to_pylist())
@@ -140,7 +140,9 @@ def fit(rows: Iterator[tuple[pa.Array, list[int]]], bits: int = 22, alpha: float
     for x in examples:
         often[x] += 1
     reaches = often * epochs > l1
-    examples = [x[reaches[x]] for x in examples]
+    for i, x in enumerate(examples):  # one by one: the parts go as their last example does
+        examples[i] = x[reaches[x]]
+    del often, reaches
     turn = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in turn.permutation(len(examples)):
@@ -183,7 +185,7 @@ def scores(texts: pa.Array, model: Weights) -> np.ndarray:
     """The probability of label 1 for each text."""
     out = []
     batch = pa.RecordBatch.from_arrays([texts], ["t"])
-    for part in slices(batch, "t", 2 << 20):
+    for part in slices(batch, "t", 1 << 20):
         owner, place = features(part.column(0), model.bits, model.known)  # few features have a weight
         pairs = np.unique((owner.astype(np.int64) << model.bits) | place)
         total = np.bincount(pairs >> model.bits, weights=model.of(pairs & ((1 << model.bits) - 1)), minlength=part.num_rows) + model.bias
@@ -216,7 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def learn(batches: Iterator[pa.RecordBatch]) -> bytes:
         return fit(((b.column("_text"), b.column("_label").to_pylist()) for b in batches), kept=kept, **options)
 
-    return learned(rows, learn) or fit(iter(()), **options)
+    with small_batches(docs.sparkSession):
+        return learned(rows, learn) or fit(iter(()), **options)
 
 
 def score(df: DataFrame, model: bytes, text: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gapline.llm import jaccard, language, mixing, ngram_lm, packing, queries, toxicity
 from gapline.llm.elias_fano import MISS, EliasFano, Reader, Trie, Writer
-from gapline.llm.shared import crc_fold, word_count
+from gapline.llm.shared import BATCH, crc_fold, small_batches, word_count
 from gapline.llm.text import words
 
 FOLDER = "/root/testdata/sf0.001"
@@ -570,6 +570,20 @@ def test_toxicity_learns_from_16000_rows(spark):
         assert least <= rows.count() <= most
 
 
+def test_small_batches_bound_what_a_task_is_given(spark):
+    df = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+
+    def given(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with small_batches(spark):
+        sizes = [r[0] for r in df.mapInArrow(given, "size long").collect()]
+    assert sum(sizes) >= 40 << 20 and max(sizes) <= BATCH + (2 << 20)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_toxicity_on_odd_and_empty_tables(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, 0), (6, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
