@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapline.llm import jaccard, language, mixing, packing, toxicity
-from gapline.llm.shared import crc_fold, table, written
+from gapline.llm.shared import bound_batches, crc_fold, table, written
 
 #: A document whose best language has a lower mean probability over its bytes than all but this share of held-out texts in
 #: that language is rejected, as are those without letters.
@@ -24,6 +24,7 @@ def _beside(docs: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in no known language. Every byte of four fifths of the rows with a language teaches the network;
     all the others give the least score of each language."""
+    bound_batches(docs.sparkSession)
     held_out = F.coalesce(crc_fold(F.col("doc_id"), 5) == 0, F.lit(False))
     known = docs.select("doc_id", "text", "lang")
     model = language.train_on_all(known.filter(~held_out))
@@ -36,6 +37,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects toxic documents. The classifier learns from a bounded sample of the labelled rows."""
+    bound_batches(docs.sparkSession)
     model = toxicity.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(_beside(docs), model).filter("predicted = 0").select("_row.*")
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop, lean, tidied, written
+from .shared import drop, lean, small_batches, tidied, written
 from .text import coded, mix, slices, words
 
 LEVELS = 4
@@ -315,7 +315,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4
     """A row for each row of docs: node, id, mark, n_shingles, component_id (the smallest id reached), first (whether the
     node stands for its component: it has the smallest id, and of those the smallest number). With `links` also n_links, the
     number of other rows that the row links with; rows with an equal set count each."""
-    return tidied(docs.sparkSession, lambda: _joined(docs, key, text, size, num, den, large, links, block))[0]
+    with small_batches(docs.sparkSession):
+        return tidied(docs.sparkSession, lambda: _joined(docs, key, text, size, num, den, large, links, block))[0]
 
 
 def _joined(docs: DataFrame, key: str, text: str, size: int, num: int, den: int, large: int, links: bool, block: int) -> DataFrame:
