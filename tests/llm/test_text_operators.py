@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gapline.llm import jaccard, language, mixing, ngram_lm, packing, queries, toxicity
 from gapline.llm.elias_fano import MISS, EliasFano, Reader, Trie, Writer
-from gapline.llm.shared import BATCH, crc_fold, small_batches, word_count
+from gapline.llm.shared import BATCH, crc_fold, drop, small_batches, word_count, written
 from gapline.llm.text import words
 
 FOLDER = "/root/testdata/sf0.001"
@@ -584,6 +584,23 @@ def test_small_batches_bound_what_a_task_is_given(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
 
 
+def test_reading_written_tables_takes_no_direct_memory(spark):
+    def direct():
+        pools = spark._jvm.java.lang.management.ManagementFactory.getPlatformMXBeans(spark._jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean"))
+        return sum(p.getMemoryUsed() for p in pools if p.getName() == "direct")
+
+    rows = spark.range(0, 24, 1, 1).select(F.expr("concat_ws('', transform(sequence(1, 8192), x -> sha2(string(id * 8192 + x), 512)))").alias("text"))
+    with small_batches(spark):
+        df, path = written(rows)  # 24 MB in one file
+        try:
+            before = direct()
+            assert df.agg(F.sum(F.length("text"))).first()[0] == 24 << 20
+            assert spark.read.parquet(path).agg(F.sum(F.octet_length("text"))).first()[0] == 24 << 20
+            assert direct() - before < 4 << 20
+        finally:
+            drop(spark, path)
+
+
 def test_toxicity_on_odd_and_empty_tables(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, 0), (6, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
