@@ -26,13 +26,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     all the others give the least score of each language."""
     bound_batches(docs.sparkSession)
     held_out = F.coalesce(crc_fold(F.col("doc_id"), 5) == 0, F.lit(False))
-    known = docs.select("doc_id", "text", "lang")
-    model = language.train_on_all(known.filter(~held_out))
+    model = language.train_on_all(docs.select("doc_id", "text", "lang").filter(~held_out))
+    apart, _ = written(language.identify(_beside(docs.filter(held_out)), model))  # judged once, for the bounds and for the result
     least = F.lit(1.0)
-    for name, bound in language.least_scores(known.filter(held_out), model, LOST_LANGUAGE_SHARE).items():
+    for name, bound in language.least_of(apart.withColumn("_lang", F.col("_row.lang")), model, LOST_LANGUAGE_SHARE, "_lang").items():
         least = F.when(F.col("lang_pred") == name, bound).otherwise(least)
-    judged = language.identify(_beside(docs), model).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least))
-    return judged.select("_row.*")
+    judged = language.identify(_beside(docs.filter(~held_out)), model).unionByName(apart)
+    return judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= least)).select("_row.*")
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,30 +122,34 @@ class Network:
         scores -= scores.max(1, keepdims=True)
         return scores - np.log(np.exp(scores).sum(1, keepdims=True))
 
-    def _states(self, x: np.ndarray, way: int) -> tuple[np.ndarray, ...]:
-        """What the bytes of x (T, n) make of this way's state: states (T + 1, H, n), gates (T, 2H, n), reset states and new
-        ones (T, H, n). Byte t is read in states[t + way] and leaves states[t + 1 - way]."""
+    def _states(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What the bytes of x (T, n) make of both ways' states, a step of each at a time: states (T + 1, 2, H, n), gates
+        (T, 2, 2H, n), reset states and new ones (T, 2, H, n). In step s the first way reads byte s and the second one byte
+        T - 1 - s, in states[s]; they leave states[s + 1]."""
         steps, n = x.shape
-        hidden, table, inner = self.h, self.table[way], self.inner[way]
-        to_gates, to_new = np.ascontiguousarray(inner[:, : 2 * hidden].T), np.ascontiguousarray(inner[:, 2 * hidden :].T)
-        states = np.zeros((steps + 1, hidden, n), table.dtype)
-        gates = np.empty((steps, 2 * hidden, n), table.dtype)
-        reset, new = np.empty((2, steps, hidden, n), table.dtype)
-        for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
-            seen = np.ascontiguousarray(table[x[t]].T)
-            before, after, g = states[t + way], states[t + 1 - way], gates[t]
+        hidden, table = self.h, self.table.reshape(512, -1)
+        to_gates, to_new = (np.ascontiguousarray(m.transpose(0, 2, 1)) for m in (self.inner[:, :, : 2 * hidden], self.inner[:, :, 2 * hidden :]))
+        read = np.concatenate([x, x[::-1] + 256], 1)
+        states = np.zeros((steps + 1, 2, hidden, n), table.dtype)
+        gates = np.empty((steps, 2, 2 * hidden, n), table.dtype)
+        reset, new = np.empty((2, steps, 2, hidden, n), table.dtype)
+        given, seen = np.empty((2 * n, 3 * hidden), table.dtype), np.empty((2, 3 * hidden, n), table.dtype)
+        for s in range(steps):
+            np.take(table, read[s], axis=0, out=given, mode="clip")
+            seen[...] = given.reshape(2, n, -1).transpose(0, 2, 1)
+            before, after, g = states[s], states[s + 1], gates[s]
             np.matmul(to_gates, before, out=g)
-            g += seen[: 2 * hidden]
+            g += seen[:, : 2 * hidden]
             g *= 0.5
             np.tanh(g, out=g)
             g *= 0.5
             g += 0.5
-            np.multiply(g[hidden:], before, out=reset[t])
-            np.matmul(to_new, reset[t], out=new[t])
-            new[t] += seen[2 * hidden :]
-            np.tanh(new[t], out=new[t])
-            np.subtract(new[t], before, out=after)
-            after *= g[:hidden]
+            np.multiply(g[:, hidden:], before, out=reset[s])
+            np.matmul(to_new, reset[s], out=new[s])
+            new[s] += seen[:, 2 * hidden :]
+            np.tanh(new[s], out=new[s])
+            np.subtract(new[s], before, out=after)
+            after *= g[:, :hidden]
             after += before
         return states, gates, reset, new
 
@@ -153,8 +157,9 @@ class Network:
         """The mean loss over the bytes of x (T, n) with labels y (n), weighted by `counted` (T, n), and its gradients,
         through time."""
         steps, n = x.shape
-        both = [self._states(x, way) for way in (0, 1)]
-        p = sum(self.out[way].T @ both[way][0][1 - way : steps + 1 - way] for way in (0, 1)) + self.bias[:, None]
+        states, gates, reset, new = self._states(x)
+        left = [states[1:, 0], states[:0:-1, 1]]  # by byte
+        p = sum(self.out[way].T @ left[way] for way in (0, 1)) + self.bias[:, None]
         p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
@@ -169,34 +174,33 @@ class Network:
         values = x.ravel()[order]
         firsts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         ends, ones = np.append(firsts[1:], len(values)), np.ones(len(values), p.dtype)
+        from_gates, from_new = self.inner[:, :, : 2 * hidden].copy(), self.inner[:, :, 2 * hidden :].copy()
+        before = states[:-1]
+        z, r = gates[:, :, :hidden], gates[:, :, hidden:]
+        stay = 1 - z
+        by_new, by_z, by_r = z * (1 - new * new), (new - before) * z * stay, before * r * (1 - r)
+        back = np.stack([self.out[0] @ p, (self.out[1] @ p)[::-1]], 1)
+        moved = np.empty((steps, 2, 3 * hidden, n), p.dtype)
+        carried, d_reset = np.zeros((2, 2, hidden, n), p.dtype)
+        for s in range(steps - 1, -1, -1):
+            d, m = back[s], moved[s]
+            d += carried
+            np.multiply(d, by_new[s], out=m[:, 2 * hidden :])
+            np.matmul(from_new, m[:, 2 * hidden :], out=d_reset)
+            np.multiply(d, by_z[s], out=m[:, :hidden])
+            np.multiply(d_reset, by_r[s], out=m[:, hidden : 2 * hidden])
+            np.matmul(from_gates, m[:, : 2 * hidden], out=carried)
+            d *= stay[s]
+            carried += d
+            d_reset *= r[s]
+            carried += d_reset
+        g["inner"][:, :, : 2 * hidden] = (before @ moved[:, :, : 2 * hidden].transpose(0, 1, 3, 2)).sum(0)
+        g["inner"][:, :, 2 * hidden :] = (reset @ moved[:, :, 2 * hidden :].transpose(0, 1, 3, 2)).sum(0)
         for way in (0, 1):
-            states, gates, reset, new = both[way]
-            before = states[way : steps + way]
-            g["out"][way] = (states[1 - way : steps + 1 - way] @ p.transpose(0, 2, 1)).sum(0)
-            from_gates, from_new = self.inner[way, :, : 2 * hidden].copy(), self.inner[way, :, 2 * hidden :].copy()
-            z, r = gates[:, :hidden], gates[:, hidden:]
-            stay = 1 - z
-            by_new, by_z, by_r = z * (1 - new * new), (new - before) * z * stay, before * r * (1 - r)
-            back = self.out[way] @ p
-            moved = np.empty((steps, 3 * hidden, n), p.dtype)
-            carried = np.zeros((hidden, n), p.dtype)
-            for t in range(steps - 1, -1, -1) if way == 0 else range(steps):
-                d, m = back[t], moved[t]
-                d += carried
-                np.multiply(d, by_new[t], out=m[2 * hidden :])
-                d_reset = from_new @ m[2 * hidden :]
-                np.multiply(d, by_z[t], out=m[:hidden])
-                np.multiply(d_reset, by_r[t], out=m[hidden : 2 * hidden])
-                np.matmul(from_gates, m[: 2 * hidden], out=carried)
-                d *= stay[t]
-                carried += d
-                d_reset *= r[t]
-                carried += d_reset
-            g["inner"][way][:, : 2 * hidden] = (before @ moved[:, : 2 * hidden].transpose(0, 2, 1)).sum(0)
-            g["inner"][way][:, 2 * hidden :] = (reset @ moved[:, 2 * hidden :].transpose(0, 2, 1)).sum(0)
-            moved = moved.transpose(0, 2, 1).reshape(-1, 3 * hidden)[order]
+            g["out"][way] = (left[way] @ p.transpose(0, 2, 1)).sum(0)
+            by_byte = moved[:: 1 - 2 * way, way].transpose(0, 2, 1).reshape(-1, 3 * hidden)[order]
             for byte, i, j in zip(values[firsts].tolist(), firsts.tolist(), ends.tolist()):
-                g["table"][way][byte] = ones[i:j] @ moved[i:j]
+                g["table"][way][byte] = ones[i:j] @ by_byte[i:j]
         return loss, g
 
 
@@ -427,17 +431,22 @@ def train_on_all(docs: DataFrame, key: str = "doc_id", text: str = "text", langu
     return net.dump()
 
 
-def least_scores(docs: DataFrame, model: bytes, lost: float, key: str = "doc_id", text: str = "text", language: str = "lang", steps: int = 10_000) -> dict[str, float]:
-    """For each learned language the largest multiple of 1 / `steps` that at most a share `lost` of all its rows in `docs`
-    that are found to be in it score under; pass only rows that did not teach. It is never under `clearly_above_chance`, also
-    for a language without such rows."""
+def least_scores(docs: DataFrame, model: bytes, lost: float, text: str = "text", language: str = "lang", steps: int = 10_000) -> dict[str, float]:
+    """`least_of` the rows of `docs`, which did not teach."""
+    known = docs.select(F.col(text).alias("text"), F.col(language).alias("_name"))
+    return least_of(identify(known, model), model, lost, "_name", steps)
+
+
+def least_of(judged: DataFrame, model: bytes, lost: float, language: str = "lang", steps: int = 10_000) -> dict[str, float]:
+    """For each learned language the largest multiple of 1 / `steps` that at most a share `lost` of all its rows in `judged`
+    (with lang_pred and score) that are found to be in it score under; pass only rows that did not teach. It is never under
+    `clearly_above_chance`, also for a language without such rows."""
     languages = Network.load(model).languages
     least = clearly_above_chance(len(languages))
     found: dict[str, list[tuple[int, int]]] = {}
     if languages:
-        known = docs.filter(F.col(language).isin(languages)).select(F.col(text).alias("text"), F.col(language).alias("_name"))
-        judged = identify(known, model).filter(F.col("lang_pred") == F.col("_name"))
-        counts = judged.groupBy("lang_pred", F.floor(F.col("score") * steps).alias("_step")).count()
+        right = judged.filter(F.col(language).isin(languages) & (F.col("lang_pred") == F.col(language)))
+        counts = right.groupBy("lang_pred", F.floor(F.col("score") * steps).alias("_step")).count()
         for name, at, many in counts.collect():  # at most `steps` + 1 rows a language, however many documents
             found.setdefault(name, []).append((at, many))
     out = {}
