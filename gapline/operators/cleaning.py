@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegerType, LongType, StringType, TimestampType
 
 from ..functions.scalars import clean_text
 
 
 def normalise(df: DataFrame, text: str, least_length: int = 1) -> DataFrame:
-    """Adds clean text and reason: rows that would be dropped keep a reason instead, so that counts add up."""
-    clean = clean_text(F.col(text))
-    return df.withColumn("clean", clean).withColumn(
-        "reason", F.when(F.col(text).isNull(), "missing").when(F.col("clean").isNull(), "blank").when(F.length("clean") < least_length, "short")
-    )
+    """Adds clean text and reason: rows that would be dropped keep a reason instead, so that counts add up. Where the
+    beginning of a text is long enough when clean, so is the whole: a filter on reason cleans few texts whole."""
+    clean, beginning = clean_text(F.col(text)), clean_text(F.substring(text, 1, 2 * least_length + 64))
+    known = F.when(F.col(text).isNull(), "missing").when(F.length(beginning) >= least_length, F.lit(None).cast("string"))
+    return df.withColumns({"clean": clean, "reason": known.when(clean.isNull(), "blank").when(F.length(clean) < least_length, "short")})
 
 
 def as_of(df: DataFrame, start: str, end: str, day: str) -> DataFrame:
@@ -25,8 +26,11 @@ def as_of(df: DataFrame, start: str, end: str, day: str) -> DataFrame:
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first by the order, which must break ties. A partial top row for each key is kept before
     the shuffle by the aggregation, so hot keys cost no more than others."""
-    whole = F.struct(*[F.col(c) for c in df.columns])
-    return df.groupBy(*key).agg(F.min_by(whole, F.struct(*order)).alias("_row")).select("_row.*")
+    # equal keys of these types are the same value, which the group has already; a zero's sign and a collation's cases are not
+    same = [f.name for f in df.schema if f.name in key and f.dataType in (StringType(), IntegerType(), LongType(), DateType(), TimestampType())]
+    rest = F.struct(*[F.col(c) for c in df.columns if c not in same])
+    rows = df.groupBy(*key).agg(F.min_by(rest, F.struct(*order)).alias("_row"))
+    return rows.select(*[F.col(c if c in same else f"_row.{c}").alias(c) for c in df.columns])
 
 
 def merge_items(df: DataFrame, key: list[str], **merged: Column) -> DataFrame:

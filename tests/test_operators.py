@@ -142,3 +142,24 @@ def test_classes_and_districts_keep_every_row(spark):
     assert sorted(r["district"] for r in got) == ["(unknown)", "(unknown)", "강서구"]
     classes = df.select(cleaning.first_class(F.col("address"), [("부산", "a"), ("구", "b")], "none").alias("c")).collect()
     assert [r["c"] for r in classes] == ["a", "none", "none"]
+
+
+def test_reason_needs_only_the_beginning_of_long_texts(spark, monkeypatch):
+    texts = [None, "", " " * 40, " " * 70 + "b", " " * 70 + "x" * 20, "a" * 19 + " " * 40, "\u03a3\u0130" * 8 + " a", "A  b\n" * 500, "\u0130" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    rows = [(r["id"], r["clean"], r["reason"]) for r in cleaning.normalise(df, "t", 20).orderBy("id").collect()]
+    assert [r[2] for r in rows] == ["missing", "blank", "blank", "short", None, "short", None, None, None]
+    assert rows[7][1] == ("a b " * 500).strip() and rows[4][1] == "x" * 20
+    whole = cleaning.clean_text
+    monkeypatch.setattr(cleaning, "clean_text", lambda v: F.when(F.length(v) > 1000, F.raise_error(F.lit("cleaned whole"))).otherwise(whole(v)))
+    rejected = cleaning.normalise(df, "t", 20).filter("reason is not null").drop("clean")
+    assert [r["id"] for r in rejected.orderBy("id").collect()] == [0, 1, 2, 3, 5]
+
+
+def test_latest_carries_keys_once(spark):
+    df = spark.createDataFrame([(i, f"k{i % 2}", 0.0 if i < 2 else -0.0, f"v{i}") for i in range(6)], "id long, long_key string, number double, v string")
+    got = cleaning.latest(df, ["long_key", "number"], [-F.col("id")])
+    assert got.columns == df.columns and got.schema.simpleString() == df.schema.simpleString()
+    assert sorted((r["id"], r["long_key"], str(r["number"]), r["v"]) for r in got.collect()) == [(4, "k0", "-0.0", "v4"), (5, "k1", "-0.0", "v5")]
+    carried = got._jdf.queryExecution().optimizedPlan().toString().split("min_by(")[1].split(" AS _row")[0]
+    assert "number" in carried and "long_key" not in carried

@@ -72,3 +72,13 @@ def test_whole_run_writes_a_table_a_stage(spark, tmp_path):
     assert got == {"collected": 5, "normalised": 3, "merged": 2, "region": 1, "classified": 1}
     assert spark.read.parquet(f"{tmp_path}/rejected").count() == 2
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/classified").select("id", "code", "confidence").collect()] == [(1, "100001", "high")]
+
+
+def test_whole_run_keeps_small_tables(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i % 3} " * 20, "a") for i in range(30)], "id int, t string, region string")
+    setting = spark.conf.get(jobs.CLEANUP)
+    jobs.prepare(df, jobs.Rules("t", ["clean"], [F.col("id")], F.lit(True)), str(tmp_path))
+    for stage in ("normalised", "merged", "region", "classified"):
+        assert list((tmp_path / stage).glob("*.zstd.parquet")) == list((tmp_path / stage).glob("*.parquet")) != []
+    assert spark.conf.get(jobs.CLEANUP) == setting
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/merged").collect()) == [0, 1, 2]
